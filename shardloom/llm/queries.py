@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from shardloom.llm import secrets
 from shardloom.llm.html_text import op4_html_extraction
 from shardloom.llm.media import op9_media_columns
+from shardloom.llm.near_dups import op6_minhash_near_dups
 from shardloom.llm.packing import op7_packing
 from shardloom.llm.token_counts import op1_token_counts
 
@@ -16,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op3_secret_scans": secrets.op3_secret_scans,
     "op4_html_extraction": op4_html_extraction,
+    "op6_minhash_near_dups": op6_minhash_near_dups,
     "op7_packing": op7_packing,
     "op9_media_columns": op9_media_columns,
 }
