@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shardloom.llm import secrets
+from shardloom.llm import decontamination, secrets
 from shardloom.llm.html_text import op4_html_extraction
 from shardloom.llm.media import op9_media_columns
 from shardloom.llm.near_dups import op6_minhash_near_dups
@@ -19,8 +19,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_html_extraction": op4_html_extraction,
     "op6_minhash_near_dups": op6_minhash_near_dups,
     "op7_packing": op7_packing,
+    "op10_benchmark_decontamination": decontamination.op10_benchmark_decontamination,
     "op9_media_columns": op9_media_columns,
 }
 ORACLES: dict[str, str] = {
     "op3_secret_scans": secrets.sql(),
+    "op10_benchmark_decontamination": decontamination.sql(),
 }
