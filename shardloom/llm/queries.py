@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from shardloom.llm import decontamination, secrets
 from shardloom.llm.html_text import op4_html_extraction
+from shardloom.llm.licenses import op2_license_scans
 from shardloom.llm.media import op9_media_columns
 from shardloom.llm.near_dups import op6_minhash_near_dups
 from shardloom.llm.packing import op7_packing
@@ -17,6 +18,7 @@ from shardloom.llm.toxicity import op8_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_license_scans": op2_license_scans,
     "op3_secret_scans": secrets.op3_secret_scans,
     "op4_html_extraction": op4_html_extraction,
     "op5_quality_classifier": op5_quality_classifier,
