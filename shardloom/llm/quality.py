@@ -183,3 +183,12 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit(docs, table(spark, sf_dir, "labels"))
     return score(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+def accepted(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` whose score reaches the threshold, with their own columns."""
+    columns, held = docs.columns, "__statistics"
+    wide = docs.withColumn(held, F.struct(*[c.alias(n) for n, c in statistics(text_of(text)).items()]))
+    names = list(statistics(F.lit("")))
+    good = 1 / (1 + F.exp(-model.logit({n: F.col(f"{held}.{n}") for n in names}))) >= threshold
+    return wide.where(good).select(*columns)
