@@ -518,3 +518,76 @@ def concat_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dataset_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes of a dataset by language."""
     return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"), F.countDistinct("source").alias("sources"), F.max("n_chars").alias("longest"))
+
+
+# --- through archives and binary formats (C, D) ---
+
+
+@query("SELECT doc_id, md5(text) digest, lang, n_chars FROM documents")
+def tar_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as shards below the shared folder and read back."""
+    import glob
+    import uuid
+
+    from shardloom.functions.decode import as_json, as_text
+    from shardloom.sources.storage import local_path, shared_dir
+    from shardloom.sources.tarscan import read_shards
+    from shardloom.sources.tarwrite import write_shards
+
+    path = f"{local_path(shared_dir(spark))}/shards-{uuid.uuid4().hex}"
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("__key__"), F.col("text").alias("txt"), F.to_json(F.struct("lang", "n_chars")).alias("json"))
+    write_shards(d, path, maxcount=2000)
+    s = read_shards(spark, sorted(glob.glob(f"{path}/*.tar")), exts=("txt", "json"))
+    fields = s.select(F.col("__key__").cast("long").alias("doc_id"), F.md5(as_text(F.col("fields")["txt"])).alias("digest"), as_json(F.col("fields")["json"], "lang string, n_chars bigint").alias("j"))
+    return fields.select("doc_id", "digest", "j.lang", "j.n_chars")
+
+
+_EMBEDDINGS = "SELECT vec_id, label, len(embedding)::BIGINT n, round(list_sum(embedding::DOUBLE[]), 4) total FROM embeddings"
+
+
+def _embeddings(df: DataFrame) -> DataFrame:
+    return df.select("vec_id", "label", F.size("v").cast("long").alias("n"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double")), 4).alias("total"))
+
+
+@query(_EMBEDDINGS)
+def npy_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as npy files and back."""
+    from shardloom.functions import codecs
+
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", codecs.tensor_npy(codecs.floats_tensor(F.col("embedding"))).alias("npy"))
+    return _embeddings(e.select("vec_id", "label", codecs.tensor_floats(codecs.npy_tensor(F.col("npy"))).alias("v")))
+
+
+@query(_EMBEDDINGS)
+def tenbin_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as tensor files and back."""
+    from shardloom.functions import codecs
+
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", codecs.list_tensor(F.array(codecs.floats_tensor(F.col("embedding")))).alias("ten"))
+    back = e.select("vec_id", "label", codecs.tensor_list(F.col("ten")).alias("ts"))
+    return _embeddings(back.select("vec_id", "label", codecs.tensor_floats(F.col("ts")[0]).alias("v")))
+
+
+@query("SELECT doc_id, md5(text) digest FROM documents")
+def gz_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts packed and unpacked."""
+    from shardloom.functions import codecs
+
+    d = table(spark, sf_dir, "documents").select("doc_id", codecs.gzipped(F.col("text").cast("binary")).alias("gz"))
+    return d.select("doc_id", F.md5(codecs.gunzip(F.col("gz"))).alias("digest"))
+
+
+@query("SELECT doc_id, md5(text) digest FROM documents")
+def directory_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards that come into a directory, read by a stream until it is empty."""
+    import uuid
+
+    from shardloom.sources.storage import local_path, shared_dir
+    from shardloom.sources.tarwrite import write_shards
+    from shardloom.streaming.directory import drain, shard_stream
+
+    path = f"{local_path(shared_dir(spark))}/stream-{uuid.uuid4().hex}"
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("__key__"), F.col("text").alias("txt"))
+    write_shards(d, f"{path}/in", maxcount=5000)
+    out = drain(shard_stream(spark, f"{path}/in", per_trigger=4), f"{path}/checkpoint", f"{path}/out")
+    return out.select(F.col("__key__").cast("long").alias("doc_id"), F.md5(F.col("fields")["txt"]).alias("digest"))
