@@ -40,10 +40,10 @@ def single_node_only(df: DataFrame, world: int = 1) -> DataFrame:
 
 
 def non_empty(df: DataFrame) -> DataFrame:
-    """``df``, which fails when it is computed without any row (a scalar count that is checked in the plan)."""
-    count = df.agg(F.count(F.lit(1)).alias("__n"))
-    checked = count.select(F.assert_true(F.col("__n") > 0, F.lit("no rows")).alias("__ok"))
-    return df.join(F.broadcast(checked), F.lit(True), "right").drop("__ok")
+    """``df``, or an error if it has no row; looks for one row only."""
+    if df.isEmpty():
+        raise ValueError("no rows")
+    return df
 
 
 def resampled(items: DataFrame, n: int, key: str, seed: int = 0, epoch: int = 0, buckets: Column | None = None) -> DataFrame:

@@ -149,6 +149,15 @@ class ShardSink(DataSourceWriter):
         context, o = TaskContext.get(), self.options
         stem = f"{context.partitionId():06d}-{context.taskAttemptId()}"
         os.makedirs(self.part, exist_ok=True)
+        try:
+            return self._write(rows, stem, o)
+        except BaseException:  # a failed attempt takes its own files with it
+            for name in os.listdir(self.part):
+                if name.startswith(stem):
+                    os.unlink(os.path.join(self.part, name))
+            raise
+
+    def _write(self, rows: Iterator[Row], stem: str, o: dict[str, str]) -> Written:
         writer: ShardWriter | None = None
         for row in rows:
             sample = row.asDict()
