@@ -43,7 +43,7 @@ def test_notices():
     for name, text in licenses.TEMPLATES.items():
         words = text.split()
         for times in (1, 3):
-            found = scanner.scan(" ".join(f"{filler(30)} {text}" for _ in range(times)) + filler(20))
+            found = scanner.scan(" ".join(f"{filler(30)} {text}" for _ in range(times)) + " " + filler(20))
             assert [m.license for m in found if m.coverage == 1] == [name] * times, name
         if len(words) > 20:  # a changed copy
             changed = list(words)
