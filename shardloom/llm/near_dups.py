@@ -168,4 +168,18 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", siz
 
 def op6_minhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents."""
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("n_links")
+
+
+def sql(size: int = 3, inter: int = 100, union: int = 85) -> str:
+    """The same rows in DuckDB by counting common shingles of all pairs that have any, and walking the links."""
+    return f"""
+WITH RECURSIVE w AS (SELECT doc_id, [x FOR x IN string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\t-\r ]+') IF x <> ''] ws FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) >= {size} THEN [array_to_string(ws[i:i + {size - 1}], ' ') FOR i IN range(1, len(ws) - {size - 2})] WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) sh FROM w),
+e AS (SELECT doc_id, unnest(sh) h FROM s),
+n AS (SELECT doc_id, len(sh)::BIGINT n FROM s),
+p AS (SELECT a.doc_id x, b.doc_id y, count(*) i FROM e a JOIN e b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE {inter} * i >= {union} * (nx.n + ny.n - i)),
+b AS (SELECT x a, y b FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id, doc_id c FROM n UNION SELECT b.b, r.c FROM r JOIN b ON r.doc_id = b.a)
+SELECT doc_id, n n_shingles, min(c) component_id, doc_id = min(c) kept FROM r JOIN n USING (doc_id) GROUP BY doc_id, n"""

@@ -6,11 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shardloom.llm import decontamination, secrets
+from shardloom.llm import decontamination, near_dups, secrets
 from shardloom.llm.html_text import op4_html_extraction
 from shardloom.llm.licenses import op2_license_scans
 from shardloom.llm.media import op9_media_columns
-from shardloom.llm.near_dups import op6_minhash_near_dups
 from shardloom.llm.packing import op7_packing
 from shardloom.llm.quality import op5_quality_classifier
 from shardloom.llm.token_counts import op1_token_counts
@@ -22,7 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secret_scans": secrets.op3_secret_scans,
     "op4_html_extraction": op4_html_extraction,
     "op5_quality_classifier": op5_quality_classifier,
-    "op6_minhash_near_dups": op6_minhash_near_dups,
+    "op6_minhash_near_dups": near_dups.op6_minhash_near_dups,
     "op7_packing": op7_packing,
     "op10_benchmark_decontamination": decontamination.op10_benchmark_decontamination,
     "op8_toxicity": op8_toxicity,
@@ -30,5 +29,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLES: dict[str, str] = {
     "op3_secret_scans": secrets.sql(),
+    "op6_minhash_near_dups": near_dups.sql(),
     "op10_benchmark_decontamination": decontamination.sql(),
 }

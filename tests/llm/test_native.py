@@ -156,6 +156,10 @@ def test_groups_of_documents(spark, sf):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == groups_of(texts)
 
 
+def test_groups_like_sql(compare):
+    compare(near_dups.op6_minhash_near_dups, near_dups.sql())
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 90), (91, 100), (7, 7)], "a long, b long")
     v = spark.createDataFrame([(k,) for k in [*range(41), 90, 91, 100, 200]], "v long")
