@@ -30,10 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardloom.llm.common import table, text_of
+from shardloom.llm.common import table, text_of, written
 from shardloom.llm.quality import MAX_ROWS, training_rows
 
-MAX_FEATURES, LEAST, FOLDS = 600, 5, 5
+MAX_FEATURES, LEAST, FOLDS = 400, 5, 5
 STEMS = (4, 5, 6)
 _WORD = re.compile(r"[^\W\d_]+")
 THRESHOLD = 0.5
@@ -65,68 +65,86 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def select_features(texts: list[set[str]], y: np.ndarray, most: int, least: int) -> list[str]:
-    """The features with the largest log-likelihood ratio among those found in ``least`` positive rows and commoner there."""
-    inside: Counter[str] = Counter()
-    outside: Counter[str] = Counter()
-    for words, label in zip(texts, y):
-        (inside if label else outside).update({f for w in words for f in _features(w)})
-    p, n = max(int(y.sum()), 1), max(int(len(y) - y.sum()), 1)
-    scored = []
-    for f, a in inside.items():
-        b = outside[f]
-        if a < least or a / p <= 3 * b / n:
-            continue
-        share = (a + b) / (p + n)
-        ratio = a * np.log(a / p / share) + (b * np.log(b / n / share) if b else 0.0)
-        scored.append((-ratio, f))
-    return [f for _, f in sorted(scored)[:most]]
-
-
-def weak_categories(texts: list[set[str]], y: np.ndarray, features: list[str]) -> dict[str, np.ndarray]:
-    """Attack and abuse columns of the training rows, and the label itself as the last; see the module."""
-    halves = {"attack": set(features[0::2]), "abuse": set(features[1::2])}
-    found = [{f for w in words for f in _features(w)} for words in texts]
-    return {name: np.array([float(label and bool(f & half)) for f, label in zip(found, y)]) for name, half in halves.items()} | {"toxic": y.astype(float)}
-
-
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 300) -> tuple[float, np.ndarray]:
+def telling(words: DataFrame, most: int = MAX_FEATURES, least: int = LEAST) -> list[str]:
+    """The features with the largest log-likelihood ratio among those of ``least`` positive rows and commoner there.
+
+    ``words`` has ``y`` and ``words`` (distinct, between blanks); frequencies are
+    added up by Spark, so that only the chosen features reach the driver.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        inside: Counter[str] = Counter()
+        outside: Counter[str] = Counter()
+
+        def out() -> pa.RecordBatch:
+            names = list(inside.keys() | outside.keys())
+            return pa.record_batch({"f": pa.array(names, pa.string()), "a": pa.array([inside[f] for f in names], pa.int64()), "b": pa.array([outside[f] for f in names], pa.int64())})
+
+        for batch in batches:
+            for y, text in zip(batch.column("y").to_pylist(), batch.column("words")):
+                (inside if y >= 0.5 else outside).update({f for w in text.as_py().split() for f in _features(w)})
+                if len(inside) + len(outside) > 300_000:
+                    yield out()
+                    inside.clear()
+                    outside.clear()
+        yield out()
+
+    p, n = (max(int(x or 0), 1) for x in words.agg(F.sum((F.col("y") >= 0.5).cast("int")), F.sum((F.col("y") < 0.5).cast("int"))).first())
+    sums = words.select("y", "words").mapInArrow(count, "f string, a long, b long").groupBy("f").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    share = (F.col("a") + F.col("b")) / (p + n)
+    ratio = F.col("a") * F.log(F.col("a") / p / share) + F.when(F.col("b") > 0, F.col("b") * F.log(F.col("b") / n / share)).otherwise(0.0)
+    good = sums.where((F.col("a") >= least) & (F.col("a") / p > 3 * F.col("b") / n))
+    return [r.f for r in good.select("f", ratio.alias("r")).orderBy(F.desc("r"), "f").limit(most).collect()]
+
+
+def weak_categories(x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    """Attack and abuse columns of training rows by feature, and the label itself as the last; see the module."""
+    return {name: (y & (x[:, k::2].any(axis=1))).astype(float) for k, name in enumerate(("attack", "abuse"))} | {"toxic": y.astype(float)}
+
+
+def _merged(x: np.ndarray, y: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, labels and weights with the rows that have none of the first ``words`` features merged; most texts have none."""
+    hit = x[:, :words].any(axis=1)
+    rest, times = np.unique(np.column_stack([x[~hit, words:], y[~hit]]), axis=0, return_counts=True)
+    empty = np.zeros((len(rest), words), dtype=np.float32)
+    rows = np.vstack([x[hit], np.hstack([empty, rest[:, :-1]])]).astype(np.float32)
+    return rows, np.concatenate([y[hit], rest[:, -1]]).astype(np.float32), np.concatenate([np.ones(int(hit.sum())), times]).astype(np.float32)
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, words: int, ridge: float = 1e-3, steps: int = 200) -> tuple[float, np.ndarray]:
     """Intercept and weights of a ridge logistic model by accelerated gradient steps."""
     share = (y.sum() + 0.5) / (len(y) + 1)
     b = float(np.log(share / (1 - share)))
-    w = np.zeros(x.shape[1])
+    w = np.zeros(x.shape[1], dtype=np.float32)
     if not len(y) or not x.shape[1] or y.min() == y.max():
         return b, w
-    rate = 4.0 / (np.linalg.norm(x, 2) ** 2 / len(y) + 1.0)
+    x, y, weight = _merged(x, y, words)
+    weight = weight / weight.sum()
+    top = np.linalg.eigvalsh(((x * weight[:, None]).T @ x).astype(float))[-1]
+    rate = np.float32(4.0 / (top + 1.0))
     z, zb, t = w.copy(), b, 1.0
     for _ in range(steps):
-        error = _sigmoid(x @ z + zb) - y
-        new, new_b = z - rate * (x.T @ error / len(y) + ridge * z), zb - rate * error.mean()
+        error = weight * (_sigmoid(x @ z + np.float32(zb)) - y)
+        new, new_b = z - rate * (x.T @ error + np.float32(ridge) * z), zb - float(rate * error.sum())
         after = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        z, zb = new + (t - 1) / after * (new - w), new_b + (t - 1) / after * (new_b - b)
+        z, zb = new + np.float32((t - 1) / after) * (new - w), new_b + (t - 1) / after * (new_b - b)
         w, b, t = new, new_b, after
     return b, w
 
 
-def fit_chain(texts: list[set[str]], labels: dict[str, np.ndarray], features: list[str], folds: int = FOLDS) -> Chain:
-    """A chain in the order of ``labels``; earlier categories enter by their out-of-fold probabilities."""
+def fit_chain(x: np.ndarray, labels: dict[str, np.ndarray], features: list[str], folds: int = FOLDS) -> Chain:
+    """A chain in the order of ``labels`` over 0/1 features; earlier categories enter by their out-of-fold probabilities."""
     names, columns = tuple(labels), {f: k for k, f in enumerate(features)}
-    x = np.zeros((len(texts), len(features)))
-    for row, words in enumerate(texts):
-        for w in words:
-            for f in _features(w):
-                if f in columns:
-                    x[row, columns[f]] = 1
-    fold = np.arange(len(texts)) % folds
-    unseen = np.zeros((len(texts), len(names)))
+    fold = np.arange(len(x)) % folds
+    unseen = np.zeros((len(x), len(names)), dtype=x.dtype)
     intercepts, words, links = np.zeros(len(names)), np.zeros((len(names), len(features))), np.zeros((len(names), len(names)))
     for k, name in enumerate(names):
         full, y = np.hstack([x, unseen[:, :k]]), labels[name]
         for f in range(folds):
             if (fold == f).any() and (fold != f).any():
-                b, w = _logistic(full[fold != f], y[fold != f])
+                b, w = _logistic(full[fold != f], y[fold != f], len(features))
                 unseen[fold == f, k] = _sigmoid(full[fold == f] @ w + b)
-        intercepts[k], w = _logistic(full, y)
+        intercepts[k], w = _logistic(full, y, len(features))
         words[k], links[k, :k] = w[: len(features)], w[len(features) :]
     return Chain(names, columns, intercepts, words, links)
 
@@ -147,10 +165,21 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id: str = "doc
                 yield pa.record_batch({"id": part.column("id"), "y": part.column("y"), "words": pa.array([" ".join(sorted(words_of(t))) for t in part.column("text").to_pylist()], pa.string())})
 
     sample = training_rows(docs, labels, label, id, max_rows).select(F.col(id).alias("id"), "y", "text")
-    data = sample.mapInArrow(distinct, f"id {kind}, y double, words string").toPandas().sort_values(["id", "words"])
-    texts, y = [set(w.split()) for w in data["words"]], data["y"].to_numpy() >= 0.5
-    features = select_features(texts, y, MAX_FEATURES, LEAST)
-    return fit_chain(texts, weak_categories(texts, y, features), features)
+    words = written(sample.mapInArrow(distinct, f"id {kind}, y double, words string"))
+    features = telling(words)
+    columns = {f: k for k, f in enumerate(features)}
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hits = [sorted({columns[f] for w in text.as_py().split() for f in _features(w) if f in columns}) for text in batch.column("words")]
+            yield pa.record_batch({"id": batch.column("id"), "y": batch.column("y"), "hits": pa.array(hits, pa.list_(pa.int32()))})
+
+    rows = words.mapInArrow(found, f"id {kind}, y double, hits array<int>").toArrow().sort_by([("id", "ascending"), ("y", "ascending")])
+    x = np.zeros((rows.num_rows, len(features)), dtype=np.float32)
+    for k, hits in enumerate(rows.column("hits")):
+        x[k, hits.as_py()] = 1
+    y = rows.column("y").to_numpy() >= 0.5
+    return fit_chain(x, weak_categories(x > 0, y), features)
 
 
 def score(docs: DataFrame, chain: Chain, id: str = "doc_id", text: str = "text") -> DataFrame:
