@@ -111,6 +111,24 @@ class Dataset:
     def associate(self, side: DataFrame, key: str = "__key__") -> Dataset:
         return self._with(joins.associate(self.df, side, key))
 
+    def xdecode(self, *rules: tuple[str, Callable[[Column], Column] | bool], name: str = "ext", value: str = "data", must_decode: bool = True) -> Dataset:
+        """``value`` decoded by the last glob that matches ``name``."""
+        return self._with(self.df.withColumn(value, project.dispatch(F.col(name), F.col(value), *rules, must_decode=must_decode)))
+
+    def map_samples(self, f: Callable[[dict[str, Any]], dict[str, Any] | None], schema: str, image: str | None = None, only: Sequence[str] | None = None, handlers: dict[str, Callable[[bytes], Any]] | None = None, secure: bool = True, on_error: str = "fail") -> Dataset:
+        """Samples with decoded fields through any Python function; None drops a sample.
+
+        The result has the order columns and those of ``schema``; ``__key__``
+        is copied if the schema names it and the function leaves it out.
+        Policies: fail, skip, warn (skip with a warning), stop (end the partition).
+        """
+        df = self.scan(list(only)) if self.scan and only else self.df
+        return self._with(mapped(df, self._keys(), f, schema, image, only, handlers, secure, on_error))
+
+    def log_keys(self, rank: int = 0, worker: int = 0, key: str = "__key__") -> DataFrame:
+        """The log of keys as a table."""
+        return project.key_log(self._indexed().df, key, "index", worker, rank)
+
     def info(self, n: int = 3) -> Dataset:
         project.info(self.df, n)
         return self
@@ -194,8 +212,69 @@ class Dataset:
             self.df.write.mode("overwrite").parquet(path)
         return self._with(spark.read.parquet(path))
 
+    def to_batches(self, size: int = 1000) -> Iterator[list[dict[str, Any]]]:
+        """Rows in order as lists, for a training loop."""
+        held: list[dict[str, Any]] = []
+        for row in self:
+            held.append(row)
+            if len(held) == size:
+                yield held
+                held = []
+        if held:
+            yield held
+
     def __iter__(self) -> Iterator[dict[str, Any]]:
         """Rows in order, a partition at a time."""
         keys = ["index"] if "index" in self.df.columns else ["batch"] if "batch" in self.df.columns else self._keys()
         for row in self.df.orderBy(*keys).toLocalIterator():
             yield row.asDict(recursive=True)
+
+
+def mapped(df: DataFrame, keys: Sequence[str], f: Callable[[dict[str, Any]], dict[str, Any] | None], schema: str, image: str | None, only: Sequence[str] | None, handlers: dict[str, Callable[[bytes], Any]] | None, secure: bool, on_error: str) -> DataFrame:
+    """Rows with a map of fields through a Python function, batch by batch; see ``Dataset.map_samples``."""
+    import warnings
+
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    from shardloom.functions.codecs import DecodeError, decode_value
+    from shardloom.sources.tarscan import POLICIES
+
+    if on_error not in POLICIES:
+        raise ValueError(f"unknown policy {on_error}")
+    order_part = StructType([field for field in df.schema.fields if field.name in keys])
+    result = StructType.fromDDL(schema)
+    kind = to_arrow_schema(StructType([*order_part.fields, *result.fields]))
+    names = [field.name for field in result.fields]
+
+    def sample_of(row: dict[str, Any]) -> dict[str, Any]:
+        out = {k: v for k, v in row.items() if k != "fields" and k not in keys}
+        for ext, data in row.get("fields") or []:
+            if only is None or ext in only:
+                try:
+                    out[ext] = decode_value(ext, data, image, secure, handlers)
+                except Exception as error:
+                    raise DecodeError(row.get("__url__"), row.get("__key__"), ext, error) from error
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for row in batch.to_pylist():
+                try:
+                    made = f(sample_of(row))
+                except Exception as error:
+                    if on_error == "fail":
+                        raise
+                    if on_error == "stop":
+                        yield pa.RecordBatch.from_pylist(rows, schema=kind)
+                        return
+                    if on_error == "warn":
+                        warnings.warn(repr(error), stacklevel=1)
+                    continue
+                if made is not None:
+                    rows.append({k: row[k] for k in keys} | {n: made.get(n, row.get("__key__") if n == "__key__" else None) for n in names})
+            yield pa.RecordBatch.from_pylist(rows, schema=kind)
+
+    return df.mapInArrow(run, StructType([*order_part.fields, *result.fields]))

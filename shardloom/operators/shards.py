@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,6 +33,12 @@ def split_by_worker(df: DataFrame, worker: int, workers: int, world: int = 1, in
     return df.where(F.floor(F.col(index) / world) % workers == worker)
 
 
+def worker_info(env: Mapping[str, str] | None = None) -> tuple[int, int, int, int]:
+    """Rank, world size, worker and number of workers by the variables RANK, WORLD_SIZE, WORKER and NUM_WORKERS; one of one if unset."""
+    values = os.environ if env is None else env
+    return int(values.get("RANK", 0)), int(values.get("WORLD_SIZE", 1)), int(values.get("WORKER", 0)), int(values.get("NUM_WORKERS", 1))
+
+
 def single_node_only(df: DataFrame, world: int = 1) -> DataFrame:
     """``df``, or an error if there is more than one node."""
     if world > 1:

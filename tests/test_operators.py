@@ -158,6 +158,7 @@ def test_shards(spark):
         shards.non_empty(s.limit(0)).collect()
     with pytest.raises(ValueError):
         shards.single_node_only(s, 2)
+    assert shards.worker_info({}) == (0, 1, 0, 1) and shards.worker_info({"RANK": "2", "WORLD_SIZE": "4"}) == (2, 4, 0, 1)
     spec = {"prefix": "p/", "datasets": [{"name": "a", "shards": "a{0..3}", "choose": 2}, {"name": "b", "shards": ["b0"], "resample": 5}]}
     got = rows(shards.multi_source(spark, spec), "name", "url")
     assert sorted(x for x, _ in got) == ["a", "a"] + ["b"] * 5 and all(u.startswith("p/") for _, u in got)

@@ -233,6 +233,25 @@ def test_fluent(spark, tmp_path):
         Dataset.open(spark, [])
 
 
+def test_functions_over_samples(spark, tmp_path):
+    with TarWriter(str(tmp_path / "a.tar")) as t:
+        for k in range(6):
+            t.write({"__key__": str(k), "cls": k, "txt.gz": f"t{k}", "bad": b"x"})
+    d = Dataset.open(spark, str(tmp_path / "a.tar"))
+    even = lambda s: {"v": s["cls"] * 10, "t": s["txt.gz"]} if s["cls"] % 2 == 0 else None
+    assert [(r["__key__"], r["v"], r["t"]) for r in d.map_samples(even, "__key__ string, v long, t string")] == [("0", 0, "t0"), ("2", 20, "t2"), ("4", 40, "t4")]
+    odd_fails = lambda s: {"v": 1 // (s["cls"] % 2)}
+    with pytest.raises(Exception, match="ZeroDivision"):
+        list(d.map_samples(odd_fails, "v long"))
+    assert [len(list(d.map_samples(odd_fails, "v long", on_error=p))) for p in ("skip", "warn", "stop")] == [3, 3, 0]
+    with pytest.raises(Exception, match="a.tar: 0.bad"):
+        list(d.map_samples(lambda s: s, "v long", handlers={"bad": int}))
+    assert len(list(d.map_samples(lambda s: {"v": len(s)}, "v long", only=["cls"]))) == 6
+    assert d.log_keys().count() == 6 and [len(b) for b in d.to_batches(4)] == [4, 2]
+    up = Dataset.of(spark.createDataFrame([(0, 0, "x", "v")], "shard_id long, sample_no long, ext string, data string"), "shard_id", "sample_no").xdecode(("x", F.upper))
+    assert [r["data"] for r in up] == ["V"]
+
+
 def test_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     make = lambda n: (tmp_path / "in" / f"{n}.tar").write_bytes(tar_bytes([(f"{n}{k}.txt", b"x") for k in range(3)]))
