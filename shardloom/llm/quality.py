@@ -30,11 +30,15 @@ TREES, DEPTH, LASSO = 30, 3, 1e-3
 THRESHOLD = 0.3
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """The statistics of a text by name, all as doubles; none divides by zero."""
-    n = F.length(text).cast("double")
-    words = F.split(F.btrim(text, F.lit(" \t\n\r")), r"\s+")
-    count = F.size(words).cast("double")
+def split_words(text: Column) -> Column:
+    return F.split(F.btrim(text, F.lit(" \t\n\r")), r"\s+")
+
+
+def statistics(text: Column, words: Column | None = None, count: Column | None = None, n: Column | None = None) -> dict[str, Column]:
+    """The statistics of a text by name, all as doubles; none divides by zero.  Words, their count and the length can be given if they are there already."""
+    n = F.length(text).cast("double") if n is None else n
+    words = split_words(text) if words is None else words
+    count = F.size(words).cast("double") if count is None else count
     of = lambda pattern: F.regexp_count(text, F.lit(pattern)).cast("double")
     share = lambda x, y: x / F.greatest(y, F.lit(1.0))
     return {
@@ -187,8 +191,10 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def accepted(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` whose score reaches the threshold, with their own columns."""
-    columns, held = docs.columns, "__statistics"
-    wide = docs.withColumn(held, F.struct(*[c.alias(n) for n, c in statistics(text_of(text)).items()]))
+    # A filter is pushed below projections and would repeat the statistics in every rule; a lambda's variable is computed once.
     names = list(statistics(F.lit("")))
-    good = 1 / (1 + F.exp(-model.logit({n: F.col(f"{held}.{n}") for n in names}))) >= threshold
-    return wide.where(good).select(*columns)
+    one = F.transform(F.array(text_of(text)), lambda t: F.struct(t.alias("t"), split_words(t).alias("w"), F.length(t).cast("double").alias("n")))
+    two = F.transform(one, lambda b: F.struct(b["t"].alias("t"), b["w"].alias("w"), b["n"].alias("n"), F.size(b["w"]).cast("double").alias("c")))
+    three = F.transform(two, lambda b: F.struct(*[c.alias(k) for k, c in statistics(b["t"], b["w"], b["c"], b["n"]).items()]))
+    logit = F.get(F.transform(three, lambda s: model.logit({k: s[k] for k in names})), F.lit(0))
+    return docs.where(1 / (1 + F.exp(-logit)) >= threshold)
