@@ -3,8 +3,8 @@
 1. Every task reduces its texts to distinct pre-token groups with frequencies,
    Spark adds the frequencies up, and each distinct group is encoded once: the
    dictionary, written to the shared folder.
-2. The ``head`` most frequent groups (a bounded number, so a bounded broadcast)
-   are added up beside the texts; the rest of a text's frequencies are joined
+2. The most frequent groups (``head`` at most, so a bounded broadcast) are
+   added up beside the texts; the rest of a text's frequencies are joined
    to the dictionary by a shuffle.  No ids of a text are ever made.
 
 Rows: one per input row, repeated ids and texts included.  A null or empty text
@@ -67,11 +67,27 @@ def _hard(units: pa.Array) -> np.ndarray:
     return pc.or_(pc.match_substring_regex(units, RUNS), pc.invert(pc.match_substring_regex(units, SETTLED))).to_numpy(zero_copy_only=False)
 
 
+def most_frequent(counted: DataFrame, head: int) -> DataFrame:
+    """Units from the top classes of frequency (eighths of a doubling) that together hold at most ``head`` units.
+
+    A sorted limit would send that many rows of every partition to one task;
+    here a row for each class is counted, a few hundred at any size.
+    """
+    rank = F.floor(F.log2("freq") * 8)
+    taken, lowest = 0, None
+    for row in sorted(counted.groupBy(rank.alias("c")).agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True):
+        taken += row.n
+        if taken > head:
+            break
+        lowest = row.c
+    return counted.limit(0) if lowest is None else counted.where(rank >= lowest)
+
+
 def count_tokens(docs: DataFrame, model: str, ranks: str | None = None, id: str = "doc_id", text: str = "text", max_tokens: int = 1024, head: int = HEAD) -> DataFrame:
     """``id, n_bytes, n_tokens, over_limit, n_units`` for every row of ``docs``; see the module."""
     spark = docs.sparkSession
     counted = written(dictionary(docs, text, model, ranks))
-    frequent = counted.orderBy(F.desc("freq"), "unit").limit(head).select("unit", "n_pieces").toArrow()
+    frequent = most_frequent(counted, head).select("unit", "n_pieces").toArrow()
     known = spark.sparkContext.broadcast((frequent.column("unit").combine_chunks(), frequent.column("n_pieces").to_numpy()))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
