@@ -35,6 +35,8 @@ from shardloom.llm.pieces import pieces, text_chunks
 TIERS = (256, 512, 1024, 2048)
 #: Ids that are packed at once.
 POOL = 4_000_000
+#: Bytes of text encoded at once; half of what counting takes, as the ids are held too.
+CHUNK = 12 << 20
 #: Ids in one step's share of a tier.
 STEP_IDS = 32_768
 END = 1
@@ -130,7 +132,7 @@ def pack(docs: DataFrame, model: str, ranks: str | None = None, id: str = "doc_i
             return pa.record_batch([pa.array(columns[0], id_type)] + [pa.array(c, pa.int64()) for c in columns[1:]], names=["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step"])
 
         id_type: pa.DataType = pa.int64()
-        for chunk in text_chunks(batches):
+        for chunk in text_chunks(batches, CHUNK):
             id_type = chunk.schema.field("id").type
             ids, count = pieces(model, ranks).ids(chunk.column("text"))
             data, end = ids.astype("<u4").tobytes(), 0

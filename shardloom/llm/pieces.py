@@ -29,15 +29,15 @@ _SETTLED = re.compile(re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: f"\\u{int(m[1], 16
 CHUNK_BYTES = 24 << 20
 
 
-def text_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches (with a string column ``text``) at CHUNK_BYTES of text; a longer text is a chunk of its own."""
+def text_chunks(batches: Iterator[pa.RecordBatch], size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches (with a string column ``text``) at ``size`` bytes of text; a longer text is a chunk of its own."""
     for batch in batches:
         text = batch.column("text")
         ends = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         start = 0
         while start < batch.num_rows:
             base = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, base + CHUNK_BYTES, side="right")))
+            stop = max(start + 1, int(np.searchsorted(ends, base + size, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
 
