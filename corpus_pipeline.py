@@ -37,8 +37,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item."""
-    found = decontamination.contaminated(docs, table(spark, sf_dir, "benchmark"))
+    """Documents without a benchmark item, in whatever letter case."""
+    found = decontamination.contaminated(docs, table(spark, sf_dir, "benchmark"), any_case=True)
     return docs.join(written(found.select("doc_id").distinct()), "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -10,6 +10,13 @@ document throughout, so that questions with changed numbers or names are found
 and texts that only look alike are not.  A document is reported for an item if
 consistent hits cover ``coverage`` of the item's windows.
 
+With ``any_case`` items and documents are also compared by a second, case-blind
+form, in which only numbers and units are slots: in a text that is all capitals,
+all small or in title case names can't be told from other words.  A document is
+reported if either form reaches the coverage, with the figures of the first one
+that does.  The query, as its SQL, goes by the first form alone; the pipeline
+by both.
+
 Items shorter than a window are compared as a whole, in windows of their own
 length.  The benchmark's windows are broadcast only if they are few
 (``broadcast_rows``); otherwise the join shuffles.  The texts of hit documents
@@ -22,6 +29,9 @@ rows that repeat an id are judged together.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,58 +60,86 @@ def canonical(token: Column) -> Column:
     )
 
 
-def _windows(hashes: str, width: Column) -> Column:
-    """Hashes of all windows of ``width`` (at most WIDTH) token hashes; empty if there are fewer tokens."""
-    at = lambda i: F.xxhash64(width, F.slice(hashes, i + 1, width))
+def folded(token: Column) -> Column:
+    """A token without its case; ß is written SS in capitals."""
+    return F.replace(F.lower(token), F.lit("ß"), F.lit("ss"))
+
+
+def blind(token: Column) -> Column:
+    """A token's case-blind form, in which names are words like others."""
+    low = folded(token)
+    return F.when(token.rlike(r"^\d"), F.lit(NUMBER_SLOT)).when(low.isin(UNITS), F.lit(UNIT_SLOT)).otherwise(low)
+
+
+#: Form of a token and what its slots are compared by, by number of the form.
+FORMS = ((canonical, lambda token: token), (blind, folded))
+
+
+def _windows(hashes: str, width: Column, form: int = 0) -> Column:
+    """Hashes of all windows of ``width`` (at most WIDTH) token hashes of a form; empty if there are fewer tokens."""
+    at = lambda i: F.xxhash64(*[F.lit(form)] * (form > 0), width, F.slice(hashes, i + 1, width))
     n = F.size(hashes)
     return F.when(n >= width, F.transform(F.sequence(F.lit(0), n - width), at)).otherwise(F.array().cast("array<bigint>"))
 
 
-def templates(benchmark: DataFrame, item: str, text: str, width: int, literals: int) -> DataFrame:
-    """``item, q, w, h, total`` of every counted window of the items: first position, width, hash, and the item's number of them."""
-    t = benchmark.select(F.col(item).alias("item"), tokens(text_of(text)).alias("raw")).withColumn("form", F.transform("raw", canonical))
+def templates(benchmark: DataFrame, item: str, text: str, width: int, literals: int, form: int = 0) -> DataFrame:
+    """``item, q, w, h, total, k`` of every counted window of the items: first position, width, hash, the item's number of them, and the form."""
+    t = benchmark.select(F.col(item).alias("item"), tokens(text_of(text)).alias("raw")).withColumn("form", F.transform("raw", FORMS[form][0]))
     t = t.withColumn("hashes", F.transform("form", lambda f: F.xxhash64(f))).withColumn("w", F.least(F.lit(width), F.size("form"))).where("w > 0 and item is not null")
     slots = F.array(F.lit(NUMBER_SLOT), F.lit(NAME_SLOT), F.lit(UNIT_SLOT))
-    flat = t.select("item", "w", "form", F.posexplode(_windows("hashes", F.col("w"))).alias("q", "h"))
+    flat = t.select("item", "w", "form", F.posexplode(_windows("hashes", F.col("w"), form)).alias("q", "h"))
     plain = F.size(F.filter(F.slice("form", F.col("q") + 1, F.col("w")), lambda f: ~F.array_contains(slots, f)))
     counted = flat.where(plain >= F.least(F.lit(literals), F.col("w"))).groupBy("item", "w", "h").agg(F.min("q").alias("q"))
     total = counted.groupBy("item").agg(F.count(F.lit(1)).alias("total"))
-    return counted.join(total, "item").select("item", "q", "w", "h", "total")
+    return counted.join(total, "item").select("item", "q", "w", "h", "total", F.lit(form).alias("k"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", width: int = WIDTH, literals: int = LITERALS, coverage: float = COVERAGE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", width: int = WIDTH, literals: int = LITERALS, coverage: float = COVERAGE, broadcast_rows: int = BROADCAST_ROWS, any_case: bool = False) -> DataFrame:
     """``id, item, n_windows, coverage, exact`` of every document that holds an item; see the module."""
-    bench = written(templates(benchmark, item, item_text, width, literals))
+    forms = range(len(FORMS) if any_case else 1)
+    bench = written(reduce(DataFrame.union, [templates(benchmark, item, item_text, width, literals, k) for k in forms]))
     widths = sorted(r.w for r in bench.select("w").distinct().collect())  # at most ``width`` values
     few = bench.count() <= broadcast_rows
     d = docs.select(F.col(id).alias("id"), text_of(text).alias("text")).where("id is not null")
-    hashed = d.select("id", F.transform(tokens(F.col("text")), lambda w: F.xxhash64(canonical(w))).alias("hashes"))
-    every = [F.transform(_windows("hashes", F.lit(w)), lambda h, p: F.struct(p.alias("p"), h.alias("h"))) for w in widths]
+    raw = d.select("id", tokens(F.col("text")).alias("raw"))
+    hashed = raw.select("id", *[F.transform("raw", lambda w: F.xxhash64(FORMS[k][0](w))).alias(f"hashes{k}") for k in forms])  # noqa: B023
+    every = [F.transform(_windows(f"hashes{k}", F.lit(w), k), lambda h, p: F.struct(p.alias("p"), h.alias("h"))) for k in forms for w in widths]
     flat = hashed.select("id", F.explode(F.concat(*every) if every else F.array().cast("array<struct<p:int,h:bigint>>")).alias("x")).select("id", "x.p", "x.h")
-    hits = written(flat.join(F.broadcast(bench) if few else bench, "h").select("id", "item", "h", "p", "q", "w", "total"))
+    hits = written(flat.join(F.broadcast(bench) if few else bench, "h").select("id", "item", "k", "h", "p", "q", "w", "total"))
 
     # Documents whose hits could reach the coverage at all.
-    able = hits.groupBy("id", "item", "total").agg(F.countDistinct("h").alias("n")).where(F.col("n") >= coverage * F.col("total")).select("id", "item")
-    lines = hits.join(able, ["id", "item"]).withColumn("diagonal", F.col("p") - F.col("q"))
-    groups = lines.groupBy("id", "item", "total", "diagonal").agg(F.sort_array(F.collect_set(F.struct("q", "p", "w", "h"))).alias("found"))
+    able = hits.groupBy("id", "item", "k", "total").agg(F.countDistinct("h").alias("n")).where(F.col("n") >= coverage * F.col("total")).select("id", "item", "k")
+    lines = hits.join(able, ["id", "item", "k"]).withColumn("diagonal", F.col("p") - F.col("q"))
+    groups = lines.groupBy("id", "item", "k", "total", "diagonal").agg(F.sort_array(F.collect_set(F.struct("q", "p", "w", "h"))).alias("found"))
     groups = written(groups)
     wanted = groups.select("id").distinct()
     raw_docs = d.join(written(wanted), "id", "left_semi").select("id", tokens(F.col("text")).alias("mine"))
     raw_items = benchmark.select(F.col(item).alias("item"), tokens(text_of(item_text)).alias("theirs"))
 
-    def pairs(f: Column) -> Column:
+    def by_form(of: Callable[[int], Column]) -> Column:
+        return reduce(lambda x, k: F.when(F.col("k") == k, of(k)).otherwise(x), forms[1:], of(0))
+
+    def pairs(k: int) -> Callable[[Column], Column]:
         """(item's token, document's token) of the slots of one window."""
-        of = F.transform(F.sequence(F.lit(0), f["w"] - 1), lambda k: F.struct(F.get("theirs", f["q"] + k).alias("a"), F.get("mine", f["p"] + k).alias("b")))
-        return F.filter(of, lambda x: ~canonical(x["a"]).eqNullSafe(F.lower(x["a"])))
+        form, value = FORMS[k]
+
+        def of(f: Column) -> Column:
+            every = F.transform(F.sequence(F.lit(0), f["w"] - 1), lambda n: F.struct(value(F.get("theirs", f["q"] + n)).alias("a"), value(F.get("mine", f["p"] + n)).alias("b")))
+            return F.filter(every, lambda x: ~form(x["a"]).eqNullSafe(F.lower(x["a"])))
+
+        return of
 
     both = groups.join(raw_docs, "id").join(raw_items, "item")
-    checked = both.withColumn("slots", F.array_distinct(F.flatten(F.transform("found", pairs))))
+    checked = both.withColumn("slots", by_form(lambda k: F.array_distinct(F.flatten(F.transform("found", pairs(k))))))
     checked = checked.withColumn("exact", F.forall("slots", lambda x: x["a"].eqNullSafe(x["b"])))
     # With repeated ids a diagonal may belong to another text: its forms then differ.
-    true = F.forall("slots", lambda x: canonical(x["a"]).eqNullSafe(canonical(x["b"]))) & (F.size(F.array_distinct(F.transform("slots", lambda x: x["a"]))) == F.size("slots"))
-    kept = checked.where(true).select("id", "item", "total", "exact", F.explode("found").alias("f"))
-    out = kept.groupBy("id", "item", "total").agg(F.countDistinct("f.h").alias("n_windows"), F.min("exact").alias("exact"))
+    true = by_form(lambda k: F.forall("slots", lambda x: FORMS[k][0](x["a"]).eqNullSafe(FORMS[k][0](x["b"])))) & (F.size(F.array_distinct(F.transform("slots", lambda x: x["a"]))) == F.size("slots"))
+    kept = checked.where(true).select("id", "item", "k", "total", "exact", F.explode("found").alias("f"))
+    out = kept.groupBy("id", "item", "k", "total").agg(F.countDistinct("f.h").alias("n_windows"), F.min("exact").alias("exact"))
     share = F.col("n_windows") / F.col("total")
+    if any_case:
+        first = out.where(share >= coverage).groupBy("id", "item").agg(F.min(F.struct("k", "total", "n_windows", "exact")).alias("x"))
+        out = first.select("id", "item", "x.*")
     return out.where(share >= coverage).select(F.col("id").alias(id), F.col("item").alias(item), "n_windows", F.round(share, 6).alias("coverage"), "exact")
 
 

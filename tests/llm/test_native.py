@@ -208,3 +208,16 @@ def test_slots(spark):
     assert decontamination.contaminated(docs.limit(0), bench).count() == 0
     assert decontamination.contaminated(docs, bench.limit(0)).count() == 0
     assert decontamination.contaminated(docs.select("doc_id", F.lit("Pure new words without any shared passage").alias("text")), bench).count() == 0
+
+
+def test_items_in_another_case(spark):
+    item = "The train from Berlin leaves with 12 crates while Anna in Paris carries only 5 km more goods than Straße does"
+    other = "ONLY A FEW OF THESE WORDS ARE THE SAME AS IN AN ITEM, NOT ENOUGH OF THEM"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(1, f"before. {item.upper()} after"), (2, item.lower()), (3, item.title()), (4, item), (5, item.upper().replace("12", "99")), (6, other), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = decontamination.contaminated(docs, bench, any_case=True)
+    assert {r.doc_id: (r.coverage, r.exact) for r in got.collect()} == {1: (1, True), 2: (1, True), 3: (1, True), 4: (1, True), 5: (1, False)}
+    no_python(got)
+    plain = {tuple(r) for r in decontamination.contaminated(docs, bench).collect()}
+    assert plain <= {tuple(r) for r in got.collect()} and 1 not in {r[0] for r in plain}

@@ -43,3 +43,9 @@ def test_run(spark, sf):
     out = pipeline.run(spark, sf)
     assert out.count() > 0 and pipeline.ORACLE_SQL is None
     assert out.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").isEmpty()
+
+
+def test_items_in_capitals_are_dropped(spark, sf):
+    item = next(r for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect() if sum(w.istitle() for w in r.text.split()) > 2)
+    docs = spark.createDataFrame([(1, item.text.upper()), (2, "a clean text of a few words")], "doc_id long, text string")
+    assert [r.doc_id for r in pipeline.drop_contaminated(spark, docs, sf).collect()] == [2]
