@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shardloom.sources.storage import shared_dir
 
+#: A key is hot if it has HOT_ROWS rows or more and at least one row in HOT_SHARE; there are HOT_SHARE such keys at most, so they can be broadcast.
+HOT_ROWS, HOT_SHARE, SALTS = 10_000, 1000, 64
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The whole table ``name`` below ``sf_dir``."""
@@ -39,6 +43,24 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def salted_join(big: DataFrame, small: DataFrame, keys: Sequence[str], spread: Sequence[str], how: str = "inner", rows: int | None = None, hot_rows: int | None = None) -> DataFrame:
+    """``big.join(small, keys, how)``, inner or left, with the hot keys of ``big`` spread over SALTS parts by a hash of ``spread``.
+
+    Only the rows of ``small`` under hot keys are repeated, for each part.
+    ``rows`` is the number of rows of ``big`` if it is known.  Keys aren't null.
+    """
+    least = HOT_ROWS if hot_rows is None else hot_rows
+    rows = big.count() if rows is None else rows
+    if rows < least:
+        return big.join(small, list(keys), how)
+    hot = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= max(least, rows / HOT_SHARE)).select(*keys, F.lit(True).alias("__hot"))
+    part = F.when(F.col("__hot"), F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")).otherwise(0)
+    parts = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    left = big.join(F.broadcast(hot), list(keys), "left").withColumn("__part", part).drop("__hot")
+    right = small.join(F.broadcast(hot), list(keys), "left").withColumn("__part", F.explode(parts)).drop("__hot")
+    return left.join(right, [*keys, "__part"], how).drop("__part")
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     context = spark.sparkContext
     if context._jsc is None:  # the session has been stopped

@@ -18,18 +18,25 @@ that does.  The query, as its SQL, goes by the first form alone; the pipeline
 by both.
 
 Items shorter than a window are compared as a whole, in windows of their own
-length.  The benchmark's windows are broadcast only if they are few
-(``broadcast_rows``); otherwise the join shuffles.  The texts of hit documents
-are joined to the written hits, which Spark broadcasts or shuffles by their size.
+length, but never by fewer than ``least`` plain words: one word isn't a
+question.  The benchmark's windows are broadcast only if they are few
+(``broadcast_rows``, of some 60 bytes each); otherwise the join shuffles, its
+hot windows salted.
+
+Whether a text holds an item depends on the text alone, so copies of a text are
+one from the hits on, and each text is judged by itself.  Slots are compared
+token by token in joins on (text, position): no text is copied for its hits,
+however many it has.
 
 Rows: one per contaminated (id, item).  Null and empty texts and items, and
-items with too few plain words, match nothing; rows without an id are skipped;
-rows that repeat an id are judged together.
+items with too few plain words, match nothing; rows without an id are left out
+of the result, but ``without_items`` judges them too.  Of an id with several
+texts, or an item with several wordings, the largest figures count.  Very long
+texts give many windows, which are streamed.  Other columns are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,8 +48,10 @@ TOKEN = r"\d+(?:[.,:]\d+)*|[\p{L}\p{M}]+"
 NAME = r"^\p{Lu}\p{Ll}+$"
 UNITS = "mm cm dm km mi ft inch inches mile miles metre metres meter meters mg kg gram grams tonne tonnes lb lbs oz ml litre litres liter liters ms sec secs second seconds minute minutes hour hours day days week weeks month months year years percent dollar dollars euro euros pound pounds cent cents degree degrees kmh mph watt watts kw kwh".split()
 NUMBER_SLOT, NAME_SLOT, UNIT_SLOT = "<number>", "<name>", "<unit>"
-WIDTH, LITERALS, COVERAGE = 8, 5, 0.5
+WIDTH, LITERALS, LEAST, COVERAGE = 8, 5, 3, 0.5
 BROADCAST_ROWS = 1_000_000
+#: Parts that joins on hot windows and copied texts are spread over.
+PARTS = 16
 
 
 def tokens(text: Column) -> Column:
@@ -82,65 +91,86 @@ def _windows(hashes: str, width: Column, form: int = 0) -> Column:
     return F.when(n >= width, F.transform(F.sequence(F.lit(0), n - width), at)).otherwise(F.array().cast("array<bigint>"))
 
 
-def templates(benchmark: DataFrame, item: str, text: str, width: int, literals: int, form: int = 0) -> DataFrame:
-    """``item, q, w, h, total, k`` of every counted window of the items: first position, width, hash, the item's number of them, and the form."""
-    t = benchmark.select(F.col(item).alias("item"), tokens(text_of(text)).alias("raw")).withColumn("form", F.transform("raw", FORMS[form][0]))
-    t = t.withColumn("hashes", F.transform("form", lambda f: F.xxhash64(f))).withColumn("w", F.least(F.lit(width), F.size("form"))).where("w > 0 and item is not null")
+def templates(items: DataFrame, width: int, literals: int, least: int, form: int = 0) -> DataFrame:
+    """``i, q, w, h, total, k`` of every counted window of the items (``i, text``): first position, width, hash, the item's number of them, and the form."""
+    t = items.select("i", tokens(F.col("text")).alias("raw")).withColumn("form", F.transform("raw", FORMS[form][0]))
+    t = t.withColumn("hashes", F.transform("form", lambda f: F.xxhash64(f))).withColumn("w", F.least(F.lit(width), F.size("form"))).where("w > 0")
     slots = F.array(F.lit(NUMBER_SLOT), F.lit(NAME_SLOT), F.lit(UNIT_SLOT))
-    flat = t.select("item", "w", "form", F.posexplode(_windows("hashes", F.col("w"), form)).alias("q", "h"))
+    flat = t.select("i", "w", "form", F.posexplode(_windows("hashes", F.col("w"), form)).alias("q", "h"))
     plain = F.size(F.filter(F.slice("form", F.col("q") + 1, F.col("w")), lambda f: ~F.array_contains(slots, f)))
-    counted = flat.where(plain >= F.least(F.lit(literals), F.col("w"))).groupBy("item", "w", "h").agg(F.min("q").alias("q"))
-    total = counted.groupBy("item").agg(F.count(F.lit(1)).alias("total"))
-    return counted.join(total, "item").select("item", "q", "w", "h", "total", F.lit(form).alias("k"))
+    counted = flat.where(plain >= F.greatest(F.least(F.lit(literals), F.col("w")), F.lit(least))).groupBy("i", "w", "h").agg(F.min("q").alias("q"))
+    total = counted.groupBy("i").agg(F.count(F.lit(1)).alias("total"))
+    return counted.join(total, "i").select("i", "q", "w", "h", "total", F.lit(form).alias("k"))
+
+
+def _text_key(text: str) -> list[Column]:
+    """Two hashes that stand for a text."""
+    return [F.xxhash64(text_of(text)).alias("t"), F.xxhash64(F.lit(7), text_of(text)).alias("u")]
+
+
+def _by_form(of: list[Column]) -> Column:
+    return reduce(lambda x, k: F.when(F.col("k") == k, of[k]).otherwise(x), range(1, len(of)), of[0])
+
 
+def _parted(df: DataFrame) -> DataFrame:
+    """``df`` once for each part."""
+    return df.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", width: int = WIDTH, literals: int = LITERALS, coverage: float = COVERAGE, broadcast_rows: int = BROADCAST_ROWS, any_case: bool = False) -> DataFrame:
-    """``id, item, n_windows, coverage, exact`` of every document that holds an item; see the module."""
+
+def items_in_texts(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", width: int = WIDTH, literals: int = LITERALS, least: int = LEAST, coverage: float = COVERAGE, broadcast_rows: int = BROADCAST_ROWS, any_case: bool = False) -> DataFrame:
+    """``t, u, item, n_windows, coverage, exact`` of every distinct text (two hashes, ``t`` and ``u``) that holds an item."""
     forms = range(len(FORMS) if any_case else 1)
-    bench = written(reduce(DataFrame.union, [templates(benchmark, item, item_text, width, literals, k) for k in forms]))
+    # Wordings of an item are items of their own until the end.
+    items = benchmark.where(F.col(item).isNotNull()).select(F.col(item).alias("item"), text_of(item_text).alias("text"))
+    items = written(items.distinct().select(F.xxhash64(F.col("item").cast("string"), "text").alias("i"), "item", "text"))
+    bench = written(reduce(DataFrame.union, [templates(items, width, literals, least, k) for k in forms]))
     widths = sorted(r.w for r in bench.select("w").distinct().collect())  # at most ``width`` values
     few = bench.count() <= broadcast_rows
-    d = docs.select(F.col(id).alias("id"), text_of(text).alias("text")).where("id is not null")
-    raw = d.select("id", tokens(F.col("text")).alias("raw"))
-    hashed = raw.select("id", *[F.transform("raw", lambda w: F.xxhash64(FORMS[k][0](w))).alias(f"hashes{k}") for k in forms])  # noqa: B023
+    d = docs.select(*_text_key(text), text_of(text).alias("text"))
+    hashed = d.select("t", "u", tokens(F.col("text")).alias("raw")).select("t", "u", *[F.transform("raw", lambda w: F.xxhash64(FORMS[k][0](w))).alias(f"hashes{k}") for k in forms])  # noqa: B023
     every = [F.transform(_windows(f"hashes{k}", F.lit(w), k), lambda h, p: F.struct(p.alias("p"), h.alias("h"))) for k in forms for w in widths]
-    flat = hashed.select("id", F.explode(F.concat(*every) if every else F.array().cast("array<struct<p:int,h:bigint>>")).alias("x")).select("id", "x.p", "x.h")
-    hits = written(flat.join(F.broadcast(bench) if few else bench, "h").select("id", "item", "k", "h", "p", "q", "w", "total"))
-
-    # Documents whose hits could reach the coverage at all.
-    able = hits.groupBy("id", "item", "k", "total").agg(F.countDistinct("h").alias("n")).where(F.col("n") >= coverage * F.col("total")).select("id", "item", "k")
-    lines = hits.join(able, ["id", "item", "k"]).withColumn("diagonal", F.col("p") - F.col("q"))
-    groups = lines.groupBy("id", "item", "k", "total", "diagonal").agg(F.sort_array(F.collect_set(F.struct("q", "p", "w", "h"))).alias("found"))
-    groups = written(groups)
-    wanted = groups.select("id").distinct()
-    raw_docs = d.join(written(wanted), "id", "left_semi").select("id", tokens(F.col("text")).alias("mine"))
-    raw_items = benchmark.select(F.col(item).alias("item"), tokens(text_of(item_text)).alias("theirs"))
-
-    def by_form(of: Callable[[int], Column]) -> Column:
-        return reduce(lambda x, k: F.when(F.col("k") == k, of(k)).otherwise(x), forms[1:], of(0))
-
-    def pairs(k: int) -> Callable[[Column], Column]:
-        """(item's token, document's token) of the slots of one window."""
-        form, value = FORMS[k]
-
-        def of(f: Column) -> Column:
-            every = F.transform(F.sequence(F.lit(0), f["w"] - 1), lambda n: F.struct(value(F.get("theirs", f["q"] + n)).alias("a"), value(F.get("mine", f["p"] + n)).alias("b")))
-            return F.filter(every, lambda x: ~form(x["a"]).eqNullSafe(F.lower(x["a"])))
-
-        return of
-
-    both = groups.join(raw_docs, "id").join(raw_items, "item")
-    checked = both.withColumn("slots", by_form(lambda k: F.array_distinct(F.flatten(F.transform("found", pairs(k))))))
-    checked = checked.withColumn("exact", F.forall("slots", lambda x: x["a"].eqNullSafe(x["b"])))
-    # With repeated ids a diagonal may belong to another text: its forms then differ.
-    true = by_form(lambda k: F.forall("slots", lambda x: FORMS[k][0](x["a"]).eqNullSafe(FORMS[k][0](x["b"])))) & (F.size(F.array_distinct(F.transform("slots", lambda x: x["a"]))) == F.size("slots"))
-    kept = checked.where(true).select("id", "item", "k", "total", "exact", F.explode("found").alias("f"))
-    out = kept.groupBy("id", "item", "k", "total").agg(F.countDistinct("f.h").alias("n_windows"), F.min("exact").alias("exact"))
+    flat = hashed.select("t", "u", F.explode(F.concat(*every) if every else F.array().cast("array<struct<p:int,h:bigint>>")).alias("x")).select("t", "u", "x.p", "x.h")
+    met = flat.join(F.broadcast(bench), "h") if few else flat.withColumn("part", F.pmod(F.xxhash64("t", "p"), F.lit(PARTS)).cast("int")).join(_parted(bench), ["h", "part"])
+    hits = written(met.select("t", "u", "i", "k", "h", "p", "q", "w", "total").distinct())
+
+    # Texts whose hits could reach the coverage at all.
+    able = hits.groupBy("t", "u", "i", "k", "total").agg(F.countDistinct("h").alias("n")).where(F.col("n") >= coverage * F.col("total")).select("t", "u", "i", "k")
+    lines = written(hits.join(able, ["t", "u", "i", "k"]).withColumn("diagonal", F.col("p") - F.col("q")))
+    line = ["t", "u", "i", "k", "diagonal"]
+
+    # What stands in the slots of the covered positions, in the item and in the text.
+    words = items.select("i", F.posexplode(tokens(F.col("text"))).alias("pos", "raw"))
+    slots = reduce(DataFrame.union, [words.select("i", F.lit(k).alias("k"), "pos", FORMS[k][1](F.col("raw")).alias("a")).where(~FORMS[k][0](F.col("a")).eqNullSafe(F.lower("a"))) for k in forms])
+    covered = lines.select(*line, F.explode(F.sequence(F.col("q"), F.col("q") + F.col("w") - 1)).alias("pos")).distinct()
+    asked = written(covered.join(slots, ["i", "k", "pos"]).select(*line, "a", (F.col("pos") + F.col("diagonal")).alias("at")))
+    places = asked.select("t", "u", "at").distinct()
+    texts = d.join(asked.select("t", "u").distinct(), ["t", "u"], "left_semi").groupBy("t", "u").agg(F.first("text").alias("text"))
+    said = texts.select("t", "u", F.posexplode(tokens(F.col("text"))).alias("at", "raw")).join(places, ["t", "u", "at"], "left_semi")
+    pair = asked.join(said, ["t", "u", "at"]).withColumn("b", _by_form([FORMS[k][1](F.col("raw")) for k in forms]))
+    judged = pair.groupBy(*line).agg(F.size(F.collect_set("a")).alias("values"), F.size(F.collect_set(F.struct("a", "b"))).alias("pairs"), F.min(F.col("a") == F.col("b")).alias("same"))
+    kept = lines.join(judged, line, "left").where(F.coalesce(F.col("values") == F.col("pairs"), F.lit(True)))
+    out = kept.groupBy("t", "u", "i", "k", "total").agg(F.countDistinct("h").alias("n_windows"), F.min(F.coalesce("same", F.lit(True))).alias("exact"))
     share = F.col("n_windows") / F.col("total")
-    if any_case:
-        first = out.where(share >= coverage).groupBy("id", "item").agg(F.min(F.struct("k", "total", "n_windows", "exact")).alias("x"))
-        out = first.select("id", "item", "x.*")
-    return out.where(share >= coverage).select(F.col("id").alias(id), F.col("item").alias(item), "n_windows", F.round(share, 6).alias("coverage"), "exact")
+    out = out.where(share >= coverage).withColumn("coverage", F.round(share, 6))
+    first = out.groupBy("t", "u", "i").agg(F.min(F.struct("k", "n_windows", "coverage", "exact")).alias("x"))
+    named = first.join(items.select("i", "item"), "i")
+    return named.groupBy("t", "u", "item").agg(F.max(F.struct("x.n_windows", "x.coverage", "x.exact")).alias("x")).select("t", "u", "item", "x.*")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", **options: object) -> DataFrame:
+    """``id, item, n_windows, coverage, exact`` of every document that holds an item; ``options`` as ``items_in_texts`` has them."""
+    found = _parted(written(items_in_texts(docs, benchmark, text, item, item_text, **options)))
+    rows = docs.select(F.col(id).alias("id"), *_text_key(text)).where("id is not null").withColumn("part", F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int"))
+    out = rows.join(found, ["t", "u", "part"]).groupBy("id", "item").agg(F.max(F.struct("n_windows", "coverage", "exact")).alias("x"))
+    return out.select(F.col("id").alias(id), F.col("item").alias(item), "x.*")
+
+
+def without_items(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", **options: object) -> DataFrame:
+    """The rows of ``docs``, with or without an id, whose text holds no item."""
+    found = _parted(written(items_in_texts(docs, benchmark, text, item, item_text, **options).select("t", "u").distinct()))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_text_key(text))
+    spread = keyed.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(PARTS)).cast("int"))
+    return spread.join(found, ["t", "u", "part"], "left_anti").select("row.*")
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,7 +178,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-def sql(width: int = WIDTH, literals: int = LITERALS, coverage: float = COVERAGE) -> str:
+def sql(width: int = WIDTH, literals: int = LITERALS, least: int = LEAST, coverage: float = COVERAGE) -> str:
     """The same rows in DuckDB, windows joined as strings."""
     units = ", ".join(f"'{u}'" for u in UNITS)
     form = rf"CASE WHEN regexp_matches(x, '{NAME}') THEN '{NAME_SLOT}' WHEN regexp_matches(x, '^\d') THEN '{NUMBER_SLOT}' WHEN lower(x) IN ({units}) THEN '{UNIT_SLOT}' ELSE lower(x) END"
@@ -158,7 +188,7 @@ WITH b0 AS (SELECT item_id, regexp_extract_all(coalesce(text, ''), '{TOKEN}') ra
 b1 AS (SELECT item_id, raw, [{form} FOR x IN raw] form, least({width}, len(raw)) w FROM b0 WHERE len(raw) > 0),
 b2 AS (SELECT item_id, raw, w, form, unnest(range(0, len(form) - w + 1)) q FROM b1),
 b3 AS (SELECT item_id, w, q, form[q + 1:q + w] g FROM b2),
-b4 AS (SELECT item_id, w, g, min(q) q FROM b3 WHERE len([y FOR y IN g IF y NOT IN {slots}]) >= least({literals}, w) GROUP BY ALL),
+b4 AS (SELECT item_id, w, g, min(q) q FROM b3 WHERE len([y FOR y IN g IF y NOT IN {slots}]) >= greatest(least({literals}, w), {least}) GROUP BY ALL),
 b5 AS (SELECT *, count(*) OVER (PARTITION BY item_id) total FROM b4),
 d1 AS (SELECT doc_id, raw, [{form} FOR x IN raw] form FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{TOKEN}') raw FROM documents WHERE doc_id IS NOT NULL)),
 ws AS (SELECT DISTINCT w FROM b5),

@@ -8,19 +8,24 @@
    bitmap in which each sample flips one bit, so that the bits set in the XOR
    of two sketches tell how many samples differ.
 3. Classes that share a band are candidates.  First each class meets one leader
-   (of the smallest classes in its buckets, the one with the nearest sketch);
-   the links confirmed so merge most of a bucket.  Then only pairs of different
-   components in a bucket are compared, the sketch deciding inside the join, so
-   pairs within a merged group are never made.  Buckets are salted by size.
+   (of the first classes in its buckets, the one with the nearest sketch); the
+   links confirmed so merge most of a bucket.  Then the classes outside a
+   bucket's largest component are compared with all of its other components,
+   the sketch deciding inside the join: pairs within that component are never
+   evaluated.  Buckets are salted by size.
 4. Every link is confirmed on the full sets in whole numbers.
 
 The sketch bound is chosen so that a pair at the threshold passes but for about
 one in a million; a pair at the threshold shares no band once in two million.
-
-Rows: one per distinct (id, set); repeated rows of an id with one text are one
-row.  Null and empty texts and texts without words have an empty set and are
-linked with nothing.  Rows without an id are not linked; their component is
-null and they are kept.
+Joins on buckets, leaders, components and classes spread their hot keys
+(``common.salted_join``); rows with empty sets take part in none of them.
+
+Rows: one per distinct (id, text), so repeated rows are one; an id with several
+texts has a row for each.  Null and empty texts and texts without words have an
+empty set and are linked with nothing.  Rows without an id are linked as others
+are; an id goes before none, so a component's id is null only if no row of it
+has one.  Very long texts are sets of many shingles, exploded and aggregated
+with spilling like those of other texts.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,7 +35,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardloom.llm.common import cut, table, text_of, written
+from shardloom.llm.common import cut, salted_join, table, text_of, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BANDS, ROWS, BITS = 20, 4, 256
@@ -63,19 +68,24 @@ def _bound(samples: int, threshold: float, bits: int) -> int:
     return math.ceil(apart + 4 * math.sqrt(max(1.0, apart * (1 - apart / bits))))
 
 
+def row_key(id: str, text: str) -> Column:
+    """A hash of an id and its text: tells the texts of an id apart, and finds them again."""
+    return F.xxhash64(F.coalesce(F.col(id).cast("string"), F.lit("\0none")), text_of(text))
+
+
 def signatures(docs: DataFrame, id: str, text: str, size: int, bands: int, rows: int, bits: int) -> DataFrame:
-    """``id, n, f1, f2, bands, sketch`` per distinct (id, set); without bands and sketch for empty sets."""
-    sets = shingles(docs.select(F.col(id).alias("id"), F.col(text).alias("text")), "text", size).select("id", "set")
-    keyed = sets.select("id", F.size("set").cast("long").alias("n"), F.xxhash64("set").alias("f1"), F.xxhash64(F.lit(7), "set").alias("f2"), "set")
-    flat = keyed.select("id", "n", "f1", "f2", F.explode_outer("set").alias("h"))
-    least = flat.groupBy("id", "n", "f1", "f2").agg(*[F.min(F.xxhash64("h", F.lit(k))).alias(f"m{k}") for k in range(bands * rows)])
-    signed = least.select("id", "n", "f1", "f2", F.array(*[f"m{k}" for k in range(bands * rows)]).alias("s"))
+    """``id, k, n, f1, f2, bands, sketch`` per distinct (id, text); without bands and sketch for empty sets."""
+    sets = shingles(docs.select(F.col(id).alias("id"), F.col(text).alias("text"), row_key(id, text).alias("k")), "text", size).select("id", "k", "set")
+    keyed = sets.select("id", "k", F.size("set").cast("long").alias("n"), F.xxhash64("set").alias("f1"), F.xxhash64(F.lit(7), "set").alias("f2"), "set")
+    flat = keyed.select("id", "k", "n", "f1", "f2", F.explode_outer("set").alias("h"))
+    least = flat.groupBy("id", "k", "n", "f1", "f2").agg(*[F.min(F.xxhash64("h", F.lit(j))).alias(f"m{j}") for j in range(bands * rows)])
+    signed = least.select("id", "k", "n", "f1", "f2", F.array(*[f"m{j}" for j in range(bands * rows)]).alias("s"))
     band = lambda b: F.xxhash64(b, *[F.get("s", b * rows + k) for k in range(rows)])
     places = F.transform("s", lambda m, k: F.pmod(F.xxhash64(m, k), F.lit(bits)).cast("int"))
     wide = signed.withColumn("places", places)
     word = lambda w: F.aggregate("places", F.lit(0).cast("long"), lambda acc, p: F.when(F.floor(p / 64) == w, acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(p, F.lit(64))))).otherwise(acc))
     some = F.col("n") > 0
-    return wide.select("id", "n", "f1", "f2", F.when(some, F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), band)).alias("bands"), *[F.when(some, word(w)).alias(f"k{w}") for w in range(bits // 64)])
+    return wide.select("id", "k", "n", "f1", "f2", F.when(some, F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), band)).alias("bands"), *[F.when(some, word(w)).alias(f"s{w}") for w in range(bits // 64)])
 
 
 def components(edges: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -83,87 +93,123 @@ def components(edges: DataFrame, vertices: DataFrame) -> DataFrame:
 
     Labels spread over edges and are then followed to their own labels, so the
     number of rounds grows with the logarithm of the longest path; each round
-    is cut with a checkpoint.
+    is cut with a checkpoint.  Vertices with many edges and labels with many
+    vertices are spread.
     """
     both = cut(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a <> b").distinct())
     label = cut(vertices.select("v", F.col("v").alias("c")))
+    n_edges, n_vertices = both.count(), label.count()
     while True:
-        near = both.join(label, both["b"] == label["v"]).groupBy("a").agg(F.min("c").alias("m"))
+        near = salted_join(both, label.select(F.col("v").alias("b"), "c"), ["b"], ["a"], rows=n_edges).groupBy("a").agg(F.min("c").alias("m"))
         spread = label.join(near, label["v"] == near["a"], "left").select("v", F.least("c", F.coalesce("m", "c")).alias("c"), F.col("c").alias("old"))
         # A vertex whose label sank takes its old label with it.
         sunk = spread.where("c < old").groupBy(F.col("old").alias("v")).agg(F.min("c").alias("d"))
         spread = cut(spread.join(sunk, "v", "left").select("v", F.least("c", F.coalesce("d", "c")).alias("c"), "old"))
-        target = spread.select(F.col("v").alias("t"), F.col("c").alias("d"))
-        after = cut(spread.join(target, spread["c"] == target["t"]).select("v", F.col("d").alias("c"), (F.col("d") < F.col("old")).alias("moved")))
+        target = spread.select(F.col("v").alias("c"), F.col("c").alias("d"))
+        after = cut(salted_join(spread, target, ["c"], ["v"], rows=n_vertices).select("v", F.col("d").alias("c"), (F.col("d") < F.col("old")).alias("moved")))
         if after.where("moved").isEmpty():
             return after.select("v", "c")
         label = after.select("v", "c")
 
 
-def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 3, inter: int = 100, union: int = 85, bands: int = BANDS, rows: int = ROWS, bits: int = BITS) -> DataFrame:
-    """``id, n_shingles, component_id, kept, n_links`` per document.
-
-    Documents are linked if ``inter`` times the size of the intersection is at
-    least ``union`` times that of the union.  ``n_links`` counts the confirmed
-    links of the document's class, at least enough to connect its component.
-    """
-    kept_words = bits // 64
+def _grouped(docs: DataFrame, id: str, text: str, size: int, inter: int, union: int, bands: int, rows: int, bits: int) -> DataFrame:
+    """``id, k, n, rep, n_links`` of every distinct (id, text): ``rep`` is the first (none, id, k) of its component."""
     bound = _bound(bands * rows, union / inter, bits)
+    sketch = [f"s{w}" for w in range(bits // 64)]
     signed = written(signatures(docs, id, text, size, bands, rows, bits))
-    known = signed.where("id is not null and n > 0")
-    sketch = [f"k{w}" for w in range(kept_words)]
-    first = known.groupBy("n", "f1", "f2").agg(F.min(F.struct("id", *sketch, "bands")).alias("x"))
-    classes = written(first.select(F.col("x.id").alias("r"), "n", "f1", "f2", *[f"x.{k}" for k in sketch], "x.bands"))
+    known = signed.where("n > 0")
+    first = known.groupBy("n", "f1", "f2").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k", *sketch, "bands")).alias("x"))
+    # A class's number is fixed once its table is written.
+    classes = written(first.select(F.monotonically_increasing_id().alias("r"), "n", "f1", "f2", F.struct("x.none", "x.id", "x.k").alias("row"), *[f"x.{k}" for k in sketch], "x.bands"))
     placed = classes.select("r", F.explode("bands").alias("bucket"))
-    groups = placed.groupBy("bucket").agg(F.min("r").alias("leader"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    members = cut(placed.join(groups, "bucket"))
-    marks = classes.join(members.select("r").distinct(), "r", "left_semi").select("r", "n", *sketch)
-    marks = cut(marks)
-
-    def near(x: str, y: str) -> Column:
-        apart = sum((F.bit_count(F.col(f"{x}.{k}").bitwiseXOR(F.col(f"{y}.{k}"))) for k in sketch), F.lit(0))
-        return apart
+    n_placed = bands * classes.count()
+    groups = written(placed.groupBy("bucket").agg(F.min("r").alias("leader"), F.count(F.lit(1)).alias("m")).where("m > 1"))
+    members = cut(salted_join(placed, groups.select("bucket", "leader"), ["bucket"], ["r"], rows=n_placed))
+    marks = cut(classes.join(members.select("r").distinct(), "r", "left_semi").select("r", "n", F.col("row.id").alias("id"), F.col("row.k").alias("k"), *sketch))
 
     def fits(x: str, y: str) -> Column:
         small, large = F.least(f"{x}.n", f"{y}.n"), F.greatest(f"{x}.n", f"{y}.n")
         return (small * inter >= large * union) & (near(x, y) <= bound)
 
-    # The sets of those documents only, from their texts.
-    holders = docs.select(F.col(id).alias("r"), F.col(text).alias("text")).join(marks.select("r"), "r", "left_semi")
-    sets = shingles(holders, "text", size).select("r", F.size("set").cast("long").alias("n"), F.xxhash64("set").alias("f1"), F.xxhash64(F.lit(7), "set").alias("f2"), "set")
-    sets = sets.join(classes.select("r", "n", "f1", "f2"), ["r", "n", "f1", "f2"], "left_semi").select("r", "set").dropDuplicates(["r"])
-    sets = written(sets)
+    def near(x: str, y: str) -> Column:
+        return sum((F.bit_count(F.col(f"{x}.{k}").bitwiseXOR(F.col(f"{y}.{k}"))) for k in sketch), F.lit(0))
+
+    # The sets of those classes only, from the text of one row of each.
+    texts = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), row_key(id, text).alias("k"))
+    holders = texts.join(marks.select("k", "r", F.col("id").alias("of")), "k").where(F.col("id").eqNullSafe(F.col("of")))
+    sets = written(shingles(holders.select("k", "r", "text"), "text", size).select("k", "r", "set").dropDuplicates(["k", "r"]).select("r", "set"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
+        """Of pairs (a, b), cut, those that are linked by their full sets."""
         left = sets.select(F.col("r").alias("a"), F.col("set").alias("sa"))
         right = sets.select(F.col("r").alias("b"), F.col("set").alias("sb"))
-        both = pairs.join(left, "a").join(right, "b").withColumn("i", F.size(F.array_intersect("sa", "sb")).cast("long"))
+        both = salted_join(pairs, left, ["a"], ["b"]).join(right, "b").withColumn("i", F.size(F.array_intersect("sa", "sb")).cast("long"))
         return both.where(F.col("i") * inter >= (F.size("sa") + F.size("sb") - F.col("i")) * union).select("a", "b")
 
-    led = members.where("leader <> r").select("r", "leader").distinct()
-    with_leader = led.join(marks.alias("y"), led["r"] == F.col("y.r")).drop(F.col("y.r")).join(marks.select(F.col("r").alias("leader"), F.struct("n", *sketch).alias("x")), "leader")
+    led = cut(members.where("leader <> r").select("r", "leader").distinct())
+    leaders = marks.select(F.col("r").alias("leader"), F.struct("n", *sketch).alias("x"))
+    with_leader = salted_join(led, leaders, ["leader"], ["r"]).join(marks.select("r", F.struct("n", *sketch).alias("y")), "r")
     best = with_leader.where(fits("x", "y")).groupBy("r").agg(F.min(F.struct(near("x", "y").alias("d"), F.col("leader").alias("l"))).alias("best"))
-    links = cut(confirmed(best.select(F.col("best.l").alias("a"), F.col("r").alias("b"))))
+    links = cut(confirmed(cut(best.select(F.col("best.l").alias("a"), F.col("r").alias("b")))))
     vertices = marks.select(F.col("r").alias("v"))
     merged = components(links, vertices)
 
-    labelled = members.join(merged, members["r"] == merged["v"]).select("r", "bucket", "c")
-    mixed = labelled.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("m")).where("low < high").select("bucket", F.ceil(F.col("m") / SALT_SIZE).cast("int").alias("salts"))
-    sized = labelled.join(mixed, "bucket").join(marks, "r")
+    labelled = cut(members.select("r", "bucket").join(merged.select(F.col("v").alias("r"), "c"), "r"))
+    parts = labelled.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("n"))
+    mixed = parts.groupBy("bucket").agg(F.max(F.struct("n", "c")).alias("top"), F.sum("n").alias("m"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    mixed = written(mixed.select("bucket", F.col("top.c").alias("main"), F.ceil(F.col("m") / SALT_SIZE).cast("int").alias("salts")))
+    sized = salted_join(labelled, mixed, ["bucket"], ["r"]).withColumn("big", F.col("c") == F.col("main")).join(marks.select("r", "n", *sketch), "r")
     one = sized.withColumn("salt", F.pmod(F.xxhash64("r"), F.col("salts")).cast("int")).alias("x")
-    other = sized.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("y")
-    met = one.join(other, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.r") < F.col("y.r")) & (F.col("x.c") != F.col("y.c")) & fits("x", "y"))
-    more = cut(confirmed(met.select(F.col("x.r").alias("a"), F.col("y.r").alias("b")).distinct()))
+    other = sized.where("not big").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("y")
+    once = F.col("x.big") | (F.col("x.r") < F.col("y.r"))
+    met = one.join(other, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.salt") == F.col("y.salt")) & once & (F.col("x.c") != F.col("y.c")) & fits("x", "y"))
+    more = cut(confirmed(cut(met.select(F.least("x.r", "y.r").alias("a"), F.greatest("x.r", "y.r").alias("b")).distinct())))
     if not more.isEmpty():
         merged = components(links.union(more), vertices)
     every = links.union(more)
     degree = every.select(F.col("a").alias("r")).union(every.select("b")).groupBy("r").agg(F.count(F.lit(1)).alias("n_links"))
 
-    class_of = classes.select("n", "f1", "f2", "r").join(merged.withColumnRenamed("v", "r"), "r", "left").join(degree, "r", "left")
-    found = signed.select("id", "n", "f1", "f2").join(class_of, ["n", "f1", "f2"], "left")
-    component = F.when(F.col("n") > 0, F.coalesce("c", "r", "id")).otherwise(F.col("id"))
-    out = found.select(F.col("id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), component).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return out.select(F.col("id").alias(id), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"), "n_links")
+    numbered = classes.select("n", "f1", "f2", "r", "row").join(merged.withColumnRenamed("v", "r"), "r", "left").join(degree, "r", "left")
+    numbered = written(numbered.select("n", "f1", "f2", "r", "row", F.coalesce("c", "r").alias("c"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
+    reps = numbered.groupBy("c").agg(F.min("row").alias("rep"))
+    class_of = salted_join(numbered.drop("row"), reps, ["c"], ["r"]).select("n", "f1", "f2", "rep", "n_links")
+    found = salted_join(known.select("id", "k", "n", "f1", "f2"), class_of, ["n", "f1", "f2"], ["id", "k"]).select("id", "k", "n", "rep", "n_links")
+    alone = F.struct(F.col("id").isNull().alias("none"), "id", "k").alias("rep")
+    return found.unionByName(signed.where("n = 0").select("id", "k", "n", alone, F.lit(0).cast("long").alias("n_links")))
+
+
+def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 3, inter: int = 100, union: int = 85, bands: int = BANDS, rows: int = ROWS, bits: int = BITS) -> DataFrame:
+    """``id, n_shingles, component_id, kept, n_links`` per document.
+
+    Documents are linked if ``inter`` times the size of the intersection is at
+    least ``union`` times that of the union.  One row of each component is
+    kept, that of the smallest id.  ``n_links`` counts the confirmed links of
+    the document's class, at least enough to connect its component.
+    """
+    found = _grouped(docs, id, text, size, inter, union, bands, rows, bits)
+    return found.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), F.col("rep.id").alias("component_id"), _is_rep().alias("kept"), "n_links")
+
+
+def _is_rep() -> Column:
+    return F.col("id").eqNullSafe(F.col("rep.id")) & (F.col("k") == F.col("rep.k"))
+
+
+def without_near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 3, inter: int = 100, union: int = 85, bands: int = BANDS, rows: int = ROWS, bits: int = BITS) -> DataFrame:
+    """The rows of ``docs`` that are kept: one of each component, and one of each group of rows with the same id and text."""
+    found = _grouped(docs, id, text, size, inter, union, bands, rows, bits)
+    dropped = written(found.where(~_is_rep()).select("id", "k"))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id).alias("id"), row_key(id, text).alias("k"))
+    repeated = written(keyed.groupBy("id", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id", "k"))
+
+    def among(rows: DataFrame, side: DataFrame, how: str) -> DataFrame:
+        l, r = rows.alias("l"), side.alias("r")
+        return l.join(r, (F.col("l.k") == F.col("r.k")) & F.col("l.id").eqNullSafe(F.col("r.id")), how)
+
+    left = among(keyed, dropped, "left_anti")
+    if not repeated.isEmpty():
+        once = among(left, repeated, "left_semi").groupBy("id", "k").agg(F.first("row").alias("row"))
+        left = among(left, repeated, "left_anti").select("row").union(once.select("row"))
+    return left.select("row.*")
 
 
 def op6_minhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,14 +6,20 @@ holds it.  From the longest size down, a window starts with the longest piece
 of its own tier, its gap is filled by the best fitting shorter pieces, and what
 gap then remains by cutting a piece.  Every window is therefore full.  The last
 few ids of a task, less than one window of the shortest size, are cut at powers
-of two, which need no padding either.  Windows of one size are dealt to steps
-so that all steps of a size hold the same number of ids.
+of two, which need no padding either.
 
-Each task packs its own rows, ``POOL`` ids at a time, with no shuffle; a lost
-task is packed again from the same split, with the same sequence numbers.
+Windows of one size are numbered over all tasks, by the prefix sums of what each
+task has, and dealt to steps in that order, so all steps of a size hold the same
+number of ids but for the last one.
 
-Rows: every row of the input is a document of its own, repeated ids included.
-A null or empty text is a document of one id, the end mark.
+Each task packs its own rows, ``POOL`` ids at a time, with no shuffle.  The
+pieces are written to the shared folder, so they are made once; a lost task is
+packed again from its split.
+
+Rows: every row of the input is a document of its own, repeated ids and texts
+included.  A null or empty text is a document of one id, the end mark.  A very
+long text is encoded alone and cut into whole windows.  Other columns are left
+out, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,18 +32,18 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shardloom.llm.common import table, text_of
+from shardloom.llm.common import table, text_of, written
 from shardloom.llm.pieces import pieces, text_chunks
 
 TIERS = (256, 512, 1024, 2048)
 #: Ids that are packed at once.
-POOL = 4_000_000
-#: Bytes of text encoded at once; half of what counting takes, as the ids are held too.
-CHUNK = 12 << 20
-#: Ids in one step's share of a tier.
+POOL = 1_000_000
+#: Bytes of text encoded at once; a worker takes some twenty times as much while it does.
+CHUNK = 2 << 20
+#: Ids in one step of a tier.
 STEP_IDS = 32_768
 END = 1
 
@@ -98,27 +104,29 @@ def pack_pool(pool: list[Piece], tiers: tuple[int, ...], last: bool) -> tuple[li
 
 
 def pack(docs: DataFrame, model: str, ranks: str | None = None, id: str = "doc_id", text: str = "text", tiers: tuple[int, ...] = TIERS, pool: int = POOL, step_ids: int = STEP_IDS) -> DataFrame:
-    """``id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step`` of every piece; see the module."""
+    """``id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step`` of every piece; see the module.
+
+    ``tier`` is the window's size: one of ``tiers``, or at the end of a task a smaller power of two.
+    """
     kind = docs.schema[id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sequence = TaskContext.get().partitionId() << 40
+        task = TaskContext.get().partitionId()
+        sequence = task << 40
         held: dict[int, tuple[object, bytes]] = {}  # number of the document: its id and its ids as bytes
         open_pieces: list[Piece] = []
         waiting = number = 0
-        filled = dict.fromkeys(tiers, 0)
+        ranks_of: dict[int, int] = {}
 
         def emit(windows: list[tuple[int, list[Piece]]]) -> Iterator[pa.RecordBatch]:
             nonlocal sequence
             out: list[tuple] = []
             for size, window in windows:
                 offset = 0
-                tier = min(t for t in tiers if t >= size)
-                step = filled[tier] // step_ids
-                filled[tier] += size
+                rank = ranks_of[size] = ranks_of.get(size, -1) + 1
                 for p in window:
                     name, ids = held[p.doc]
-                    out.append((name, p.start, p.length, zlib.crc32(ids[4 * p.start : 4 * (p.start + p.length)]), len(ids) // 4, sequence, offset, tier, step))
+                    out.append((name, p.start, p.length, zlib.crc32(ids[4 * p.start : 4 * (p.start + p.length)]), len(ids) // 4, sequence, offset, size, task, rank))
                     offset += p.length
                 sequence += 1
                 if len(out) >= 20_000:
@@ -129,7 +137,7 @@ def pack(docs: DataFrame, model: str, ranks: str | None = None, id: str = "doc_i
 
         def batch(rows: list[tuple]) -> pa.RecordBatch:
             columns = list(zip(*rows))
-            return pa.record_batch([pa.array(columns[0], id_type)] + [pa.array(c, pa.int64()) for c in columns[1:]], names=["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step"])
+            return pa.record_batch([pa.array(columns[0], id_type)] + [pa.array(c, pa.int64()) for c in columns[1:]], names=["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "task", "rank"])
 
         id_type: pa.DataType = pa.int64()
         for chunk in text_chunks(batches, CHUNK):
@@ -149,8 +157,13 @@ def pack(docs: DataFrame, model: str, ranks: str | None = None, id: str = "doc_i
                     waiting = sum(p.length for p in open_pieces)
         yield from emit(pack_pool(open_pieces, tiers, last=True)[0])
 
-    found = docs.select(F.col(id).alias("id"), text_of(text).alias("text")).mapInArrow(run, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier long, step long")
-    return found.withColumnRenamed("id", id)
+    found = written(docs.select(F.col(id).alias("id"), text_of(text).alias("text")).mapInArrow(run, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier long, task long, rank long"))
+    # Windows of a size before those of a task: one row for each task and size.
+    has = found.groupBy("tier", "task").agg((F.max("rank") + 1).alias("n"))
+    before = Window.partitionBy("tier").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    base = has.select("tier", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    step = F.floor((F.col("base") + F.col("rank")) * F.col("tier") / step_ids).cast("long").alias("step")
+    return found.join(base, ["tier", "task"]).select(F.col("id").alias(id), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", step)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,11 +6,15 @@ over all rules and the statistics' scaled values keeps a few of them, and what
 is kept is compiled into one Spark column expression, so that scoring runs in
 the JVM beside the scan and shuffles nothing.
 
-Training rows: at most ``max_rows`` labelled ids, the first in the order of a
-hash of the id, so that a larger corpus changes the sample but not its size.
-Repeated labels of an id are averaged; rows without an id or a label are left
-out.  Rows: one per input row.  A null or empty text has the statistics of an
-empty text and gets a score too.
+Training rows: one for each of at most ``max_rows`` labelled ids, the first in
+the order of a hash of the id, so that a larger corpus changes the sample but
+not its size.  Of an id with several texts the one of the smallest hash counts;
+repeated labels of an id are averaged; rows without an id or a label are left
+out.  Rows: one per input row, repeated ids included.  A null or empty text has
+the statistics of an empty text and gets a score too; a very long text is read
+whole, like others.  Columns of the input are held apart from those made here,
+so their names can't clash, but ``score`` and ``predicted`` replace columns of
+these names.
 """
 
 from __future__ import annotations
@@ -159,13 +163,14 @@ def held_out(id: str = "doc_id") -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, id: str = "doc_id", max_rows: int = MAX_ROWS) -> DataFrame:
-    """``id, text, y`` of at most ``max_rows`` labelled documents that are not held out; the labels are few enough to broadcast."""
+    """``id, text, y`` of at most ``max_rows`` labelled documents that are not held out, a row for each id; so many labels are broadcast."""
     known = labels.select(F.col(id).alias(id), F.col(label).cast("double").alias("y")).where(F.col(id).isNotNull() & F.col("y").isNotNull() & ~held_out(id))
     # Only the lower end of the hashes is sorted, or every partition would send max_rows rows to one task.
     share = min(1.0, 1.5 * max_rows / max(known.count(), 1))
     low = known if share >= 1 or max_rows < 1000 else known.where(F.xxhash64(id) <= int(-(2**63) + share * 2**64))
     some = low.groupBy(id).agg(F.avg("y").alias("y")).orderBy(F.xxhash64(id), id).limit(max_rows)
-    return docs.select(id, text_of("text").alias("text")).join(F.broadcast(some), id)
+    found = docs.select(id, text_of("text").alias("text")).join(F.broadcast(some), id)
+    return found.groupBy(id, "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id: str = "doc_id", max_rows: int = MAX_ROWS) -> Model:
@@ -179,10 +184,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id: str = "d
 def score(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with ``score`` and ``predicted`` in place of columns of these names."""
     names = list(statistics(F.lit("")))
-    wide = docs.withColumn("_stats", F.struct(*[c.alias(n) for n, c in statistics(text_of(text)).items()]))
-    logit = model.logit({n: F.col(f"_stats.{n}") for n in names})
-    scored = wide.withColumn("score", 1 / (1 + F.exp(-logit)))
-    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int")).drop("_stats")
+    rest = [c for c in docs.columns if c.lower() not in ("score", "predicted")]
+    wide = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), F.struct(*[c.alias(n) for n, c in statistics(text_of(text)).items()]).alias("stats"))
+    logit = model.logit({n: F.col(f"stats.{n}") for n in names})
+    scored = wide.select("row", (1 / (1 + F.exp(-logit))).alias("score"))
+    return scored.select("row.*", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

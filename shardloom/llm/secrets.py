@@ -2,18 +2,28 @@
 
 Each rule is a regular expression.  From its syntax tree a Boolean query over
 trigrams is derived: every match needs those trigrams of the lower-cased text.
-The index is held document by document: a trigram's posting for a row is
-whether the row's text contains it, and the intersection is a Boolean
-expression of them, which stops at the first missing trigram, so that texts are
-neither shuffled nor read twice.  ``postings`` and ``candidates`` give the same
-index the other way round, by trigram, to be stored.  Only candidates are
-verified with the expression itself; rules without a mandatory trigram (long
-hexadecimal runs) are run over every text.
+
+1. ``postings`` builds an inverted index of the rules' trigrams: for each
+   segment of the distinct texts and each trigram, the list of the texts that
+   hold it.  Segments bound the lists, so no list grows with the corpus.
+2. ``candidates`` evaluates the queries on the index, intersecting lists where
+   all trigrams are needed and uniting them where any will do.
+3. Texts are joined to their candidate rules, copies of a text being spread,
+   and only candidates are verified with the expression itself.  Rules without
+   a mandatory trigram (long hexadecimal runs) are run over every text.
+
+The index goes by a hash of the text: texts that share one share their lists,
+which can only add candidates.
 
 Matches are leftmost and do not overlap within a rule; a match whose checked
 group is too short is dropped after matching.  Spans are in code points, end
-exclusive.  Rows: one per input row, repeated ids included.  A null or empty
-text has no spans; ``base_sha256`` is then the digest of the empty string.
+exclusive; their places are sums by blocks, so a text with a million matches
+takes a hundred times as long as one with ten thousand.
+
+Rows: one per input row, repeated ids included.  A null or empty text has no
+spans; ``base_sha256`` is then the digest of the empty string.  Very long texts
+are matched whole.  Columns of the input are held apart from those made here,
+so their names can't clash.
 """
 
 from __future__ import annotations
@@ -26,7 +36,12 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardloom.llm.common import table, text_of
+from shardloom.llm.common import salted_join, table, text_of, written
+
+
+#: Distinct texts in one segment of the index, about; matches whose places are summed up in one block.
+SEGMENT, BLOCK = 10_000, 512
+SPANS = "array<struct<start:int,kind:int,end:int>>"
 
 
 @dataclass(frozen=True)
@@ -131,67 +146,102 @@ def trigrams(query: Query) -> set[str]:
     return set() if query is True else {query} if isinstance(query, str) else set().union(*map(trigrams, query[1]))
 
 
-def _holds(query: Query, has: dict[str, Column]) -> Column:
-    if query is True:
-        return F.lit(True)
-    if isinstance(query, str):
-        return has[query]
-    return reduce(lambda a, b: a & b if query[0] == "and" else a | b, [_holds(q, has) for q in query[1]])
+def _names(rules: tuple[Rule, ...]) -> list[str]:
+    return sorted(set().union(*(trigrams(trigram_query(r.pattern)) for r in rules)))
+
+
+def postings(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", segments: int = 1) -> DataFrame:
+    """The inverted index for the rules' trigrams: ``segment, trigram, texts``, the hashes of the texts of a segment that hold it."""
+    names = _names(rules)
+    low = docs.select(F.xxhash64(text_of(text)).alias("t"), F.lower(text_of(text)).alias("low"))
+    held = F.filter(F.array(*[F.lit(n) for n in names]), lambda n: F.col("low").contains(n)) if names else F.array().cast("array<string>")
+    flat = low.select("t", F.explode(held).alias("trigram"))
+    return flat.groupBy(F.pmod("t", F.lit(segments)).alias("segment"), "trigram").agg(F.collect_set("t").alias("texts"))
+
+
+def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``t, rules``: of each text whose postings satisfy some rule's query, the bits of those rules; none for rules without mandatory trigrams."""
+    empty = F.array().cast("array<bigint>")
+    one = index.groupBy("segment").agg(F.map_from_entries(F.collect_list(F.struct("trigram", "texts"))).alias("lists"))
+
+    def satisfied(query: Query) -> Column:
+        if isinstance(query, str):
+            return F.coalesce(F.try_element_at("lists", F.lit(query)), empty)
+        return reduce(F.array_intersect if query[0] == "and" else F.array_union, [satisfied(q) for q in query[1]])
 
+    queries = {k: q for k, q in ((k, trigram_query(r.pattern)) for k, r in enumerate(rules)) if q is not True}
+    found = [F.struct(F.lit(1 << k).cast("long").alias("bit"), satisfied(q).alias("texts")) for k, q in queries.items()]
+    if not found:
+        return index.select(F.lit(0).cast("long").alias("t"), F.lit(0).cast("long").alias("rules")).limit(0)
+    each = one.select(F.explode(F.array(*found)).alias("x")).select("x.bit", F.explode("x.texts").alias("t"))
+    return each.groupBy("t").agg(F.bit_or("bit").alias("rules"))
 
-def postings(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The inverted index for the rules' trigrams: ``trigram, id``, a row for each text that contains it."""
-    names = sorted(set().union(*(trigrams(trigram_query(r.pattern)) for r in rules)))
-    low = docs.select(F.col(id), F.lower(text_of(text)).alias("_low"))
-    held = F.filter(F.array(*[F.lit(n) for n in names]), lambda n: F.col("_low").contains(n))
-    return low.select(F.explode(held).alias("trigram"), F.col(id))
 
+def _flagged(docs: DataFrame, rules: tuple[Rule, ...], text: str) -> DataFrame:
+    """``row`` (the columns of ``docs``), ``text``, and ``rules``, the bits of the rules by whose query the text is a candidate."""
+    n = docs.count()
+    found = written(candidates(written(postings(docs, rules, text, -(-n // SEGMENT) or 1)), rules))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rest = [F.col(f"row.`{c}`") for c in docs.columns if c != text] or [F.lit(0)]
+    held = docs.select(row.alias("row"), text_of(text).alias("text"), F.xxhash64(text_of(text)).alias("t"))
+    joined = salted_join(held.withColumn("spread", F.xxhash64(*rest)), found, ["t"], ["spread"], "left", rows=n)
+    return joined.select("row", "text", F.coalesce("rules", F.lit(0)).alias("rules"))
 
-def candidates(index: DataFrame, rule: Rule, id: str = "doc_id") -> DataFrame:
-    """Ids whose postings satisfy the rule's query; for a rule with mandatory trigrams only."""
-    query = trigram_query(rule.pattern)
-    if query is True:
-        raise ValueError(f"{rule.kind} has no mandatory trigram: scan every text")
-    names = sorted(trigrams(query))
-    has = {n: F.max(F.col("trigram") == n) for n in names}
-    return index.where(F.col("trigram").isin(names)).groupBy(id).agg(_holds(query, has).alias("_all")).where("_all").select(id)
+
+def _once(value: Column, of: object) -> Column:
+    """``of(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
 
 
 def _matches(text: Column, rule: Rule) -> Column:
     """All matches of a rule in order: array of (piece before it, match, whether it is kept)."""
-    checked = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
-    whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    return F.arrays_zip(F.slice(F.split(text, rule.pattern, -1), F.lit(1), F.size(whole)).alias("before"), whole.alias("match"), F.transform(checked, lambda g: F.length(g) >= rule.least).alias("kept"))
+
+    def zipped(whole: Column) -> Column:
+        checked = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else whole
+        before = F.slice(F.split(text, rule.pattern, -1), F.lit(1), F.size(whole))
+        return F.arrays_zip(before.alias("before"), whole.alias("match"), F.transform(checked, lambda g: F.length(g) >= rule.least).alias("kept"))
+
+    return _once(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), zipped)
 
 
 def _spans(text: Column, rule: Rule, number: int) -> Column:
-    """Kept spans of a rule as array of (start, kind's number, end)."""
-    span = "array<struct<start:int,kind:int,end:int>>"
-    first = F.struct(F.lit(0).alias("at"), F.array().cast(span).alias("out"))
+    """Kept spans of a rule as array of (start, kind's number, end): summed up in blocks, whose starts are then summed up."""
 
     def step(acc: Column, m: Column) -> Column:
         start = acc["at"] + F.length(m["before"])
         end = start + F.length(m["match"])
-        one = F.array(F.struct(start.alias("start"), F.lit(number).alias("kind"), end.alias("end"))).cast(span)
+        one = F.array(F.struct(start.alias("start"), F.lit(number).alias("kind"), end.alias("end"))).cast(SPANS)
         return F.struct(end.alias("at"), F.when(m["kept"], F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(_matches(text, rule), first, step, lambda acc: acc["out"])
+    def block(ms: Column) -> Column:
+        return F.aggregate(ms, F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out")), step)
+
+    def placed(blocks: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        starts = F.aggregate(blocks, zero, lambda acc, b: F.struct((acc["at"] + b["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+        moved = lambda b, by: F.transform(b["out"], lambda s: F.struct((s["start"] + by).alias("start"), s["kind"].alias("kind"), (s["end"] + by).alias("end")))
+        return F.flatten(F.zip_with(blocks, starts, moved))
+
+    def located(ms: Column) -> Column:
+        parts = F.sequence(F.lit(0), ((F.size(ms) - 1) / BLOCK).cast("int"))
+        blocks = F.transform(parts, lambda i: block(F.slice(ms, i * BLOCK + 1, F.lit(BLOCK))))
+        return F.when(F.size(ms) > 0, _once(blocks, placed)).otherwise(F.array().cast(SPANS))
 
+    return _once(_matches(text, rule), located)
 
-def _worth_it(rule: Rule, low: str, text: str) -> Column:
-    """Whether a row is a candidate: its trigrams, and for rules without, the shortest run that can be kept."""
-    query = trigram_query(rule.pattern)
-    if query is True:
-        return F.col(text).rlike(rule.pattern if rule.group else rule.pattern.removesuffix("+") + f"{{{rule.least}}}" if rule.pattern.endswith("]+") and rule.pattern.count("[") == 1 else rule.pattern)
-    return _holds(query, {t: F.col(low).contains(t) for t in trigrams(query)})
+
+def _worth_it(rule: Rule, number: int, text: Column, flags: Column) -> Column:
+    """Whether a text is a candidate: by the index, and for rules without mandatory trigrams if it holds the shortest run that can be kept."""
+    if trigram_query(rule.pattern) is not True:
+        return flags.bitwiseAND(F.lit(1 << number).cast("long")) != 0
+    return text.rlike(rule.pattern if rule.group else rule.pattern.removesuffix("+") + f"{{{rule.least}}}" if rule.pattern.endswith("]+") and rule.pattern.count("[") == 1 else rule.pattern)
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
-    """``docs`` with ``_spans``, the spans of all rules as array of (start, kind's number, end), by start and kind."""
-    empty = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    held = docs.withColumn("_text", text_of(text)).withColumn("_low", F.lower("_text"))
-    found = [F.when(_worth_it(r, "_low", "_text"), _spans(F.col("_text"), r, k)).otherwise(empty) for k, r in enumerate(rules)]
-    return held.withColumn("_spans", F.array_sort(F.flatten(F.array(*found)))).drop("_low", "_text")
+    """``row``, a struct of the columns of ``docs``, and ``spans``, those of all rules as array of (start, kind's number, end), by start and kind."""
+    held = _flagged(docs, rules, text)
+    found = [F.when(_worth_it(r, k, F.col("text"), F.col("rules")), _spans(F.col("text"), r, k)).otherwise(F.array().cast(SPANS)) for k, r in enumerate(rules)]
+    return held.select("row", F.array_sort(F.flatten(F.array(*found))).alias("spans"))
 
 
 def _written(spans: Column, rules: tuple[Rule, ...]) -> Column:
@@ -202,28 +252,35 @@ def _written(spans: Column, rules: tuple[Rule, ...]) -> Column:
 def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``id``, a count per base rule, ``base_sha256`` and all ``spans`` of every row; see the module."""
     base = [k for k, r in enumerate(rules) if r.base]
-    found = scan(docs.select(F.col(id), F.col(text)), rules, text)
-    count = lambda k: F.size(F.filter("_spans", lambda s: s["kind"] == k)).cast("long")
+    found = scan(docs.select(F.col(id).alias("id"), F.col(text).alias("text")), rules)
+    count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
     counts = [count(k).alias(f"n_{rules[k].kind}") for k in base]
-    kept = F.filter("_spans", lambda s: s["kind"].isin(base))
-    return found.select(F.col(id), *counts, F.sha2(_written(kept, rules), 256).alias("base_sha256"), _written(F.col("_spans"), rules).alias("spans"))
+    kept = F.filter("spans", lambda s: s["kind"].isin(base))
+    return found.select(F.col("row.id").alias(id), *counts, F.sha2(_written(kept, rules), 256).alias("base_sha256"), _written(F.col("spans"), rules).alias("spans"))
+
+
+def _replaced(text: Column, rule: Rule) -> Column:
+    """A text with the rule's kept matches replaced."""
+
+    def joined(ms: Column) -> Column:
+        parts = F.transform(ms, lambda m: F.concat(m["before"], F.when(m["kept"], F.lit(f"[{rule.kind}]")).otherwise(m["match"])))
+        tail = F.element_at(F.split(text, rule.pattern, -1), -1)
+        return F.when(F.size(ms) > 0, F.concat(F.array_join(parts, ""), tail)).otherwise(text)
+
+    return _once(_matches(text, rule), joined)
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """``docs`` with every kept match replaced by ``[kind]``, rule after rule; a text without one is unchanged, null stays null.
 
-    Each rule runs on what the rule before it left.
+    Each rule runs on what the rule before it left of a text that is its candidate.
     """
-    columns, out = docs.columns, docs
-    for rule in rules:
-        low = out.withColumn("_low", F.lower(text_of(text))).withColumn("_now", text_of(text))
-        whole = F.regexp_extract_all("_now", F.lit(rule.pattern), F.lit(0))
-        mark = F.lit(f"[{rule.kind}]")
-        parts = F.transform(_matches(F.col("_now"), rule), lambda m: F.concat(m["before"], F.when(m["kept"], mark).otherwise(m["match"])))  # noqa: B023
-        tail = F.element_at(F.split("_now", rule.pattern, -1), -1)
-        out = low.withColumn("_new", F.when(_worth_it(rule, "_low", "_now") & (F.size(whole) > 0), F.concat(F.array_join(parts, ""), tail)).otherwise(F.col(text)))
-        out = out.select(*[F.col("_new").alias(c) if c == text else F.col(c) for c in columns])
-    return out
+    out = _flagged(docs, rules, text).withColumn("now", F.col("text"))
+    for number, rule in enumerate(rules):
+        new = F.when(_worth_it(rule, number, F.col("now"), F.col("rules")), _replaced(F.col("now"), rule)).otherwise(F.col("now"))
+        out = out.select("row", "rules", new.alias("now"))
+    clean = F.when(F.col(f"row.`{text}`").isNotNull(), F.col("now"))
+    return out.select(*[clean.alias(c) if c == text else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

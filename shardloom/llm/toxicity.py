@@ -5,17 +5,22 @@ a text and the probabilities of the categories before it.  For training, those
 probabilities come from models that have not seen the row (out of fold), so
 that a later model trusts an earlier one no more than it deserves.
 
-Categories are 0/1 columns of the training rows.  ``weak_categories`` derives
-two from one toxicity label where no finer labels exist: attacks (toxic texts
-with words of the most telling half of the vocabulary) and abuse (toxic texts
-with words of the other half); the label itself comes last in the chain.
-Features are a text's distinct words and word beginnings, so that inflected and
-made-up forms of one stem count together; those kept are the ``max_features``
-most telling of the training rows by their log-likelihood ratio.
-
-Training rows: at most ``max_rows`` labelled ids, by a hash of the id.  Rows of
-the result: one per flagged row of the input with the probability of every
-category.  Null and empty texts have no words and are scored by the intercepts.
+Categories are 0/1 columns of the training rows.  The tables have one label for
+toxicity and no finer ones, so ``weak_categories`` derives two parts of it, which
+are aids to the chain and not judgements of their own: ``blunt``, toxic texts
+with a feature of the more telling half, and ``veiled``, toxic texts with a
+feature of the other half.  The label itself comes last in the chain.  Features
+are a text's distinct words and, for lengths of ``STEMS``, word beginnings, so
+that inflected and made-up forms of one stem count together; those kept are the
+``max_features`` most telling of the training rows by their log-likelihood ratio
+among those in ``least`` toxic rows and ``factor`` times as common there.
+
+Training rows: one for each of at most ``max_rows`` labelled ids, by a hash of
+the id; see ``quality.training_rows`` for repeated ids.  Rows of ``score``: one
+per input row, repeated ids included; the query returns those flagged, with the
+probability of every category.  Null and empty texts have no words and are
+scored by the intercepts; of very long texts all words count.  Ties between
+features go by name.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,7 +38,9 @@ from pyspark.sql import functions as F
 from shardloom.llm.common import table, text_of, written
 from shardloom.llm.quality import MAX_ROWS, training_rows
 
-MAX_FEATURES, LEAST, FOLDS = 400, 5, 5
+#: Features kept, toxic training rows that a feature is in at least, how much commoner it is there at least, and folds.
+MAX_FEATURES, LEAST, FACTOR, FOLDS = 400, 5, 3.0, 5
+#: Lengths of the word beginnings.
 STEMS = (4, 5, 6)
 _WORD = re.compile(r"[^\W\d_]+")
 THRESHOLD = 0.5
@@ -65,8 +72,8 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def telling(words: DataFrame, most: int = MAX_FEATURES, least: int = LEAST) -> list[str]:
-    """The features with the largest log-likelihood ratio among those of ``least`` positive rows and commoner there.
+def telling(words: DataFrame, most: int = MAX_FEATURES, least: int = LEAST, factor: float = FACTOR) -> list[str]:
+    """The features with the largest log-likelihood ratio, in falling order, among those of ``least`` positive rows and ``factor`` times as common there.
 
     ``words`` has ``y`` and ``words`` (distinct, between blanks); frequencies are
     added up by Spark, so that only the chosen features reach the driver.
@@ -93,13 +100,15 @@ def telling(words: DataFrame, most: int = MAX_FEATURES, least: int = LEAST) -> l
     sums = words.select("y", "words").mapInArrow(count, "f string, a long, b long").groupBy("f").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     share = (F.col("a") + F.col("b")) / (p + n)
     ratio = F.col("a") * F.log(F.col("a") / p / share) + F.when(F.col("b") > 0, F.col("b") * F.log(F.col("b") / n / share)).otherwise(0.0)
-    good = sums.where((F.col("a") >= least) & (F.col("a") / p > 3 * F.col("b") / n))
+    good = sums.where((F.col("a") >= least) & (F.col("a") / p > factor * F.col("b") / n))
     return [r.f for r in good.select("f", ratio.alias("r")).orderBy(F.desc("r"), "f").limit(most).collect()]
 
 
 def weak_categories(x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-    """Attack and abuse columns of training rows by feature, and the label itself as the last; see the module."""
-    return {name: (y & (x[:, k::2].any(axis=1))).astype(float) for k, name in enumerate(("attack", "abuse"))} | {"toxic": y.astype(float)}
+    """Blunt and veiled columns of training rows by feature, the most telling first, and the label itself as the last; see the module."""
+    half = -(-x.shape[1] // 2)
+    parts = {"blunt": x[:, :half], "veiled": x[:, half:]}
+    return {name: (y & part.any(axis=1)).astype(float) for name, part in parts.items()} | {"toxic": y.astype(float)}
 
 
 def _merged(x: np.ndarray, y: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -154,7 +163,7 @@ def words_of(text: str) -> set[str]:
     return set(_WORD.findall(text.lower()))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id: str = "doc_id", max_rows: int = MAX_ROWS) -> Chain:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id: str = "doc_id", max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES, least: int = LEAST, factor: float = FACTOR, folds: int = FOLDS) -> Chain:
     """A chain for one toxicity label, fitted on the driver on a bounded sample; the texts come as their distinct words."""
     kind = docs.schema[id].dataType.simpleString()
 
@@ -166,7 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id: str = "doc
 
     sample = training_rows(docs, labels, label, id, max_rows).select(F.col(id).alias("id"), "y", "text")
     words = written(sample.mapInArrow(distinct, f"id {kind}, y double, words string"))
-    features = telling(words)
+    features = telling(words, max_features, least, factor)
     columns = {f: k for k, f in enumerate(features)}
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id: str = "doc
     for k, hits in enumerate(rows.column("hits")):
         x[k, hits.as_py()] = 1
     y = rows.column("y").to_numpy() >= 0.5
-    return fit_chain(x, weak_categories(x > 0, y), features)
+    return fit_chain(x, weak_categories(x > 0, y), features, folds)
 
 
 def score(docs: DataFrame, chain: Chain, id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -1,7 +1,9 @@
 """License scans, HTML extraction, media, quality, toxicity and the pipeline."""
 
 import hashlib
+import itertools
 import random
+import re
 import zlib
 from difflib import SequenceMatcher
 
@@ -203,10 +205,11 @@ def test_quality_held_out(spark, tables):
 
 def test_quality_rows(spark, tables, sf):
     docs, labels = tables(spark, sf)
-    df = spark.createDataFrame(AWKWARD, "doc_id long, text string, score string")
+    df = spark.createDataFrame(AWKWARD, "doc_id long, text string, score string").withColumn("_stats", F.lit(1)).withColumn("row", F.lit(2))
     model = quality.fit(docs, labels)
     got = quality.score(df, model).collect()
     assert len(got) == len(AWKWARD) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
+    assert all((r._stats, r.row) == (1, 2) for r in got)
     assert quality.score(df.limit(0), model).count() == 0 and quality.accepted(df, model).columns == df.columns
     assert quality.fit(docs.limit(0), labels).rules == () and quality.fit(docs, labels.limit(0)).rules == ()
     held = {r.doc_id: r.h for r in docs.select("doc_id", quality.held_out().alias("h")).collect()}
@@ -216,7 +219,7 @@ def test_quality_rows(spark, tables, sf):
 def test_toxicity_held_out(spark, tables):
     docs, labels = tables(spark, "/root/testdata/sf0.1")
     chain = toxicity.fit(docs, labels)
-    assert chain.names == ("attack", "abuse", "toxic") and np.allclose(chain.links, np.tril(chain.links, -1)) and chain.links.any()
+    assert chain.names == ("blunt", "veiled", "toxic") and np.allclose(chain.links, np.tril(chain.links, -1)) and chain.links.any()
     some = labels.where(quality.held_out())
     got = toxicity.score(docs.join(some.select("doc_id"), "doc_id", "left_semi"), chain).join(some, "doc_id").toPandas()
     caught = got[got.toxic == 1].p_toxic >= 0.5
@@ -233,6 +236,49 @@ def test_toxicity_rows(spark, tables, sf):
     assert toxicity.score(df, none).count() == len(AWKWARD)
 
 
+def test_parts_of_the_label():
+    x = np.array([[1, 0, 0, 0], [0, 1, 0, 1], [0, 0, 1, 0], [1, 1, 1, 1], [0, 0, 0, 0]], dtype=bool)
+    got = toxicity.weak_categories(x, np.array([True, True, True, False, True]))
+    assert {k: v.tolist() for k, v in got.items()} == {"blunt": [1, 1, 0, 0, 0], "veiled": [0, 1, 1, 0, 0], "toxic": [1, 1, 1, 0, 1]}
+
+
+def test_one_training_row_for_an_id(spark):
+    docs = spark.range(5000).selectExpr("7L doc_id", "concat('text ', id) text", "1 y").unionByName(spark.createDataFrame([(8, "other", 1)], "doc_id long, text string, y int"))
+    labels = spark.createDataFrame([(7, 1), (7, 0), (8, 1), (9, None), (None, 1)], "doc_id long, quality int")
+    rows = quality.training_rows(docs, labels, "quality", max_rows=10)
+    assert sorted((r.doc_id, r.y) for r in rows.collect()) == [(7, 0.5), (8, 1.0)]
+    assert quality.training_rows(docs, labels, "quality", max_rows=1).count() == 1
+
+
+def plain_statistics(text):
+    import math
+    import unicodedata
+
+    words = re.split(r"[ \t\n\x0b\f\r]+", text.strip(" \t\n\r"))
+    n, count = len(text), len(words)
+    white, kind = set(" \t\n\x0b\f\r"), [unicodedata.category(c) for c in text]
+    sign = [k[0] not in "LN" and c not in white for c, k in zip(text, kind)]
+    runs = lambda marks, least: sum(1 for on, g in itertools.groupby(marks) if on and len(list(g)) >= least)
+    return {
+        "length": math.log1p(n), "word_length": n / max(count, 1), "distinct": len(set(words)) / max(count, 1),
+        "upper": kind.count("Lu") / max(n, 1), "shouted": runs([k == "Lu" for k in kind], 2) / max(count, 1), "digits": sum(c in "0123456789" for c in text) / max(n, 1),
+        "signs": sum(s and c not in ".,;:'\"()!?-" for c, s in zip(text, sign)) / max(n, 1), "sign_runs": runs(sign, 2) / max(count, 1),
+        "stops": sum(c in ".!?" and (k + 1 == n or text[k + 1] in white) for k, c in enumerate(text)) / max(count, 1), "lines": text.count("\n") / max(count, 1),
+        "lone_signs": sum(bool(w) and all(unicodedata.category(c)[0] not in "LN" for c in w) for w in words) / max(count, 1),
+    }
+
+
+def test_statistics_like_plain_python(spark, sf):
+    rng = random.Random(5)
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").limit(60).collect()]
+    texts += ["".join(rng.choices(["a", "B", "CD", " ", "  ", "\n", "\t", "1", ".", "!!", "--", "é", "Ä", "word", "©", "'"], k=rng.randint(0, 40))) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    got = df.select("k", F.struct(*[c.alias(n) for n, c in quality.statistics(F.col("text")).items()]).alias("s")).collect()
+    for r in got:
+        for name, value in plain_statistics(texts[r.k]).items():
+            assert r.s[name] == pytest.approx(value), (name, texts[r.k])
+
+
 def test_out_of_fold_links_are_learned():
     rng = np.random.default_rng(1)
     x = (rng.random((600, 4)) < 0.3).astype(np.float32)

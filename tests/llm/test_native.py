@@ -51,23 +51,48 @@ def test_spans_like_sql(compare):
     compare(secrets.op3_secret_scans, secrets.sql())
 
 
-def test_trigram_queries_never_lose_a_match(leaky):
-    index = secrets.postings(leaky.where("doc_id is not null"))
-    for rule in secrets.RULES:
-        if secrets.trigram_query(rule.pattern) is True:
-            assert rule.kind == "hex"
-            with pytest.raises(ValueError):
-                secrets.candidates(index, rule)
-            continue
-        found = {r.doc_id for r in secrets.candidates(index, rule).collect()}
-        assert {r.doc_id for r in leaky.collect() if r.doc_id is not None and f"{rule.kind}:" in brute(r.text)} <= found
+def holds(query, low):
+    if query is True or isinstance(query, str):
+        return query is True or query in low
+    return (all if query[0] == "and" else any)(holds(q, low) for q in query[1])
+
+
+@pytest.mark.parametrize("segments", [1, 7])
+def test_index_gives_the_texts_that_satisfy_the_queries(leaky, segments):
+    index = secrets.postings(leaky, segments=segments)
+    found = {r.t: r.rules for r in secrets.candidates(index).collect()}
+    no_python(secrets.candidates(secrets.postings(leaky.sparkSession.range(3).selectExpr("string(id) text"))))
+    for r in leaky.select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("t")).collect():
+        for k, rule in enumerate(secrets.RULES):
+            query = secrets.trigram_query(rule.pattern)
+            held = bool(found.get(r.t, 0) & 1 << k)
+            assert held == (query is not True and holds(query, (r.text or "").lower()))
+            assert held or query is True or f"{rule.kind}:" not in brute(r.text)
+    assert secrets.candidates(secrets.postings(leaky.limit(0))).count() == 0
+
+
+def test_rules_without_trigrams_only(spark):
+    hex_only = tuple(r for r in secrets.RULES if r.kind == "hex")
+    df = spark.createDataFrame([(1, "a" * 32 + " b"), (2, "none")], "doc_id long, text string")
+    assert {r.doc_id: r.spans for r in secrets.secret_spans(df, hex_only).collect()} == {1: "hex:0:32", 2: ""}
+
+
+def test_many_matches_in_blocks(spark, monkeypatch):
+    run, text = "0123456789abcdef" * 2, "x y"
+    many = " ".join([run] * 5000)
+    df = spark.createDataFrame([(1, many), (2, text)], "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secrets.secret_spans(df).collect()}
+    assert got == {1: brute(many), 2: ""}
 
 
 def test_redaction(spark, leaky):
     clean = secrets.redact(leaky)
     assert clean.columns == leaky.columns
-    one = spark.createDataFrame([(1, 'a token = "abcdefgh1" b'), (2, None), (3, "token = short")], "doc_id long, text string")
-    assert {r.doc_id: r.text for r in secrets.redact(one).collect()} == {1: 'a [assign]" b', 2: None, 3: "token = short"}
+    rows = [(1, 'a token = "abcdefgh1" b', "l", "n", "r"), (2, None, "l", "n", "r"), (3, "token = short", "l", "n", "r")]
+    one = spark.createDataFrame(rows, "doc_id long, text string, _low string, now string, row string")
+    got = secrets.redact(one).collect()
+    assert {r.doc_id: r.text for r in got} == {1: 'a [assign]" b', 2: None, 3: "token = short"}
+    assert all((r._low, r.now, r.row) == ("l", "n", "r") for r in got) and got[0].__fields__ == one.columns
 
 
 # --- near duplicates ---
@@ -133,10 +158,41 @@ def test_groups(spark, copies):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in named} == groups_of(copies)
     assert all(r.kept == (r.doc_id == r.component_id) for r in named)
     lone = [r for r in got.collect() if r.doc_id is None]
-    assert len(lone) == 1 and lone[0].component_id is None and lone[0].kept
+    assert len(lone) == 1 and lone[0].component_id == groups_of(copies)[4][1] and not lone[0].kept
     no_python(got)
 
 
+def test_ids_with_several_texts_and_rows_without(spark):
+    first, other, third = (" ".join(f"{c}{k}" for k in range(60)) for c in "xyz")
+    rows = [(1, first, "a"), (1, other, "b"), (1, other, "b"), (2, first + " end", "c"), (None, other, "d"), (None, third, "e"), (None, third, "e"), (None, None, "f"), (3, "", "g"), (4, None, "h"), (3, "", "g")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, k string")
+    kept = near_dups.without_near_duplicates(df)
+    assert kept.columns == df.columns
+    assert sorted(r.k for r in kept.collect()) == ["a", "b", "e", "f", "g", "h"]
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in near_dups.near_duplicates(df).where("n_shingles > 0").collect()), key=str)
+    assert got == sorted([(1, 1, True), (1, 1, True), (2, 1, False), (None, 1, False), (None, None, True)], key=str)
+
+
+def test_hot_keys_are_spread(spark, copies, monkeypatch):
+    from shardloom.llm import common
+
+    big = spark.range(30_000).selectExpr("id", "if(id % 3 = 0, id, -1) a", "'x' b")
+    small = spark.createDataFrame([(-1, "x", "hot"), (3, "x", "cold"), (-1, "y", "no")], "a long, b string, c string")
+    for how in ("inner", "left"):
+        out = common.salted_join(big, small, ["a", "b"], ["id"], how)
+        assert out.count() == (20_001 if how == "inner" else 30_000) and out.where("c = 'hot'").count() == 20_000
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    df = spark.createDataFrame(list(copies.items()), "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dups.near_duplicates(df).collect()} == groups_of(copies)
+
+
+def test_many_equal_and_empty_texts(spark):
+    same = spark.range(60_000).selectExpr("id doc_id", "if(id % 3 = 0, '', if(id % 3 = 1, 'one and the same text', concat('text number ', id, ' of its own', id))) text")
+    got = near_dups.near_duplicates(same)
+    assert got.where("kept").count() == 20_000 + 1 + 20_000
+    assert got.where("component_id = 1").count() == 20_000
+
+
 def test_salted_buckets_change_nothing(spark, copies, monkeypatch):
     monkeypatch.setattr(near_dups, "SALT_SIZE", 3)
     df = spark.createDataFrame(list(copies.items()), "doc_id long, text string")
@@ -195,15 +251,18 @@ def test_whole_items_are_found(spark, sf):
 
 def test_slots(spark):
     item = "the train from Berlin leaves with 12 crates while another train from Berlin carries only 5 km more goods than before"
-    bench = spark.createDataFrame([(1, item, "t"), (2, "short one here", "t"), (3, None, "t"), (4, "", "t"), (5, "Anna Anna Anna", "t")], "item_id long, text string, doc_id string")
+    bench = spark.createDataFrame([(1, item, "t"), (2, "short one here", "t"), (3, None, "t"), (4, "", "t"), (5, "Anna Anna Anna", "t"), (6, "yes", "t"), (7, "yes or", "t")], "item_id long, text string, doc_id string")
     other = item.replace("Berlin", "Paris").replace("12", "99").replace("km", "miles")
     mixed = other.replace("Paris carries", "Rome carries")
-    rows = [(1, f"some words before {other} and after", 0), (2, mixed, 0), (3, "So SHORT one here!", 0), (4, None, 0), (None, item, 0), (5, "the train from", 0), (6, item, 0), (6, item, 0), (7, item.upper(), 0), (8, "Anna Anna Anna", 0), (9, "filler " * 20000 + item, 0)]
+    rows = [(1, f"some words before {other} and after", 0), (2, mixed, 0), (3, "So SHORT one here!", 0), (4, None, 0), (None, item, 0), (5, "the train from", 0), (6, item, 0), (6, item, 0), (7, item.upper(), 0), (8, "Anna Anna Anna", 0), (9, "filler " * 20000 + item, 0), (10, "yes or no, yes", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, item_id int")
     got = decontamination.contaminated(docs, bench)
     found = {(r.doc_id, r.item_id): r.exact for r in got.collect()}
     assert found == {(1, 1): False, (3, 2): True, (6, 1): True, (9, 1): True}
     assert decontamination.contaminated(docs, bench, broadcast_rows=0).count() == len(found)
+    clean = decontamination.without_items(docs.withColumn("part", F.lit("clash")), bench)
+    assert clean.columns == [*docs.columns, "part"]
+    assert sorted(str(r.doc_id) for r in clean.collect()) == ["10", "2", "4", "5", "7", "8"]
     no_python(got)
     assert decontamination.contaminated(docs.limit(0), bench).count() == 0
     assert decontamination.contaminated(docs, bench.limit(0)).count() == 0
