@@ -19,31 +19,33 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rule ensemble accepts; it is fitted on the labelled ones among them."""
+    """Documents that the rule ensemble accepts; it is fitted on the labelled ones among them.
+
+    Null and empty texts are judged as empty texts; rows that repeat an id or a text are judged one by one.
+    """
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     return quality.accepted(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group; rows that repeat an id are one document."""
-    groups = near_dups.near_duplicates(docs)
-    dropped = written(groups.where("not kept").select("doc_id").distinct())
-    left = docs.join(dropped, "doc_id", "left_anti")
-    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    if repeated.isEmpty():
-        return left
-    some = left.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return some.unionByName(left.where("doc_id is null"))
+    """One document of each group, that of the smallest id; rows with one id and one text are one document.
+
+    Several texts under one id are several documents; rows without an id go after those with one.
+    Null and empty texts are near-duplicates of nothing.
+    """
+    return near_dups.without_near_duplicates(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item, in whatever letter case."""
-    found = decontamination.contaminated(docs, table(spark, sf_dir, "benchmark"), any_case=True)
-    return docs.join(written(found.select("doc_id").distinct()), "doc_id", "left_anti").select(*docs.columns)
+    """Documents without a benchmark item, in whatever letter case.
+
+    Each text is judged by itself, whatever its id, and also without one; null and empty texts stay.
+    """
+    return decontamination.without_items(docs, table(spark, sf_dir, "benchmark"), any_case=True)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets in their texts replaced by the kind of secret."""
+    """All documents, secrets in their texts replaced by the kind of secret; null texts stay null, repeated rows stay repeated."""
     clean = secrets.redact(docs)
     if "n_chars" not in docs.columns:
         return clean
@@ -53,7 +55,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in windows of at most 2048 ids."""
+    """The pieces of all documents in windows of at most 2048 ids; a null or empty text is its end mark, repeated rows are packed each."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
