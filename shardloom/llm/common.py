@@ -13,6 +13,8 @@ from shardloom.sources.storage import shared_dir
 
 #: A key is hot if it has HOT_ROWS rows or more and at least one row in HOT_SHARE; there are HOT_SHARE such keys at most, so they can be broadcast.
 HOT_ROWS, HOT_SHARE, SALTS = 10_000, 1000, 64
+#: Bits of the bitmap that clears rows from joins.
+FILTER_BITS = 1 << 23
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,24 +45,50 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def salted_join(big: DataFrame, small: DataFrame, keys: Sequence[str], spread: Sequence[str], how: str = "inner", rows: int | None = None, hot_rows: int | None = None) -> DataFrame:
-    """``big.join(small, keys, how)``, inner or left, with the hot keys of ``big`` spread over SALTS parts by a hash of ``spread``.
+def hot_keys(df: DataFrame, keys: Sequence[str], rows: int) -> DataFrame | None:
+    """The hot keys of ``df``, of ``rows`` rows, as a written table; none if no key can be or is hot."""
+    if rows < HOT_ROWS:
+        return None
+    hot = written(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= max(HOT_ROWS, rows / HOT_SHARE)).select(*keys))
+    return None if hot.isEmpty() else hot
 
-    Only the rows of ``small`` under hot keys are repeated, for each part.
-    ``rows`` is the number of rows of ``big`` if it is known.  Keys aren't null.
+
+def salted_join(big: DataFrame, small: DataFrame, keys: Sequence[str], spread: Sequence[str], how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
+    """``big.join(small, keys, how)``, inner, left or left_anti, with the ``hot`` keys spread over SALTS parts by a hash of ``spread``.
+
+    Only the rows of ``small`` under hot keys are repeated, for each part.  Keys aren't null.
     """
-    least = HOT_ROWS if hot_rows is None else hot_rows
-    rows = big.count() if rows is None else rows
-    if rows < least:
+    if hot is None:
         return big.join(small, list(keys), how)
-    hot = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= max(least, rows / HOT_SHARE)).select(*keys, F.lit(True).alias("__hot"))
+    mark = F.broadcast(hot.select(*keys, F.lit(True).alias("__hot")))
     part = F.when(F.col("__hot"), F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")).otherwise(0)
     parts = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    left = big.join(F.broadcast(hot), list(keys), "left").withColumn("__part", part).drop("__hot")
-    right = small.join(F.broadcast(hot), list(keys), "left").withColumn("__part", F.explode(parts)).drop("__hot")
+    left = big.join(mark, list(keys), "left").withColumn("__part", part).drop("__hot")
+    right = small.join(mark, list(keys), "left").withColumn("__part", F.explode(parts)).drop("__hot")
     return left.join(right, [*keys, "__part"], how).drop("__part")
 
 
+def maybe_among(df: DataFrame, keys: Sequence[str], side: DataFrame, name: str = "maybe") -> DataFrame:
+    """``df`` with a boolean that is false only where the keys aren't among those of ``side``.
+
+    A bitmap of FILTER_BITS bits, 2 MB as a table, whatever the size of
+    ``side``: rows that it clears need no join and so no shuffle.
+    """
+    bit = F.pmod(F.xxhash64(*keys), F.lit(FILTER_BITS))
+    flag = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int"))
+    word = F.call_function("shiftright", bit, F.lit(6)).alias("__word")
+    words = side.select(word, flag.alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
+    held = df.withColumn("__word", word).withColumn("__bit", flag).join(F.broadcast(words), "__word", "left")
+    return held.withColumn(name, F.coalesce(F.col("__bits").bitwiseAND(F.col("__bit")) != 0, F.lit(False))).drop("__word", "__bit", "__bits")
+
+
+def without(df: DataFrame, gone: DataFrame, keys: Sequence[str], spread: Sequence[str], rows: int) -> DataFrame:
+    """The rows of ``df`` (of ``rows`` rows) whose keys aren't among those of ``gone``, both without null keys; only rows that a bitmap can't clear are joined."""
+    marked = maybe_among(df, keys, gone)
+    rest = marked.where("maybe").drop("maybe")
+    return marked.where("not maybe").drop("maybe").unionByName(salted_join(rest, gone.select(*keys), keys, spread, "left_anti", hot_keys(df, keys, rows)))
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     context = spark.sparkContext
     if context._jsc is None:  # the session has been stopped

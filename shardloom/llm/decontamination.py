@@ -42,7 +42,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardloom.llm.common import table, text_of, written
+from shardloom.llm.common import hot_keys, salted_join, table, text_of, without, written
 
 TOKEN = r"\d+(?:[.,:]\d+)*|[\p{L}\p{M}]+"
 NAME = r"^\p{Lu}\p{Ll}+$"
@@ -50,7 +50,7 @@ UNITS = "mm cm dm km mi ft inch inches mile miles metre metres meter meters mg k
 NUMBER_SLOT, NAME_SLOT, UNIT_SLOT = "<number>", "<name>", "<unit>"
 WIDTH, LITERALS, LEAST, COVERAGE = 8, 5, 3, 0.5
 BROADCAST_ROWS = 1_000_000
-#: Parts that joins on hot windows and copied texts are spread over.
+#: Parts that the join on hot windows is spread over.
 PARTS = 16
 
 
@@ -112,11 +112,6 @@ def _by_form(of: list[Column]) -> Column:
     return reduce(lambda x, k: F.when(F.col("k") == k, of[k]).otherwise(x), range(1, len(of)), of[0])
 
 
-def _parted(df: DataFrame) -> DataFrame:
-    """``df`` once for each part."""
-    return df.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-
-
 def items_in_texts(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", width: int = WIDTH, literals: int = LITERALS, least: int = LEAST, coverage: float = COVERAGE, broadcast_rows: int = BROADCAST_ROWS, any_case: bool = False) -> DataFrame:
     """``t, u, item, n_windows, coverage, exact`` of every distinct text (two hashes, ``t`` and ``u``) that holds an item."""
     forms = range(len(FORMS) if any_case else 1)
@@ -130,7 +125,7 @@ def items_in_texts(docs: DataFrame, benchmark: DataFrame, text: str = "text", it
     hashed = d.select("t", "u", tokens(F.col("text")).alias("raw")).select("t", "u", *[F.transform("raw", lambda w: F.xxhash64(FORMS[k][0](w))).alias(f"hashes{k}") for k in forms])  # noqa: B023
     every = [F.transform(_windows(f"hashes{k}", F.lit(w), k), lambda h, p: F.struct(p.alias("p"), h.alias("h"))) for k in forms for w in widths]
     flat = hashed.select("t", "u", F.explode(F.concat(*every) if every else F.array().cast("array<struct<p:int,h:bigint>>")).alias("x")).select("t", "u", "x.p", "x.h")
-    met = flat.join(F.broadcast(bench), "h") if few else flat.withColumn("part", F.pmod(F.xxhash64("t", "p"), F.lit(PARTS)).cast("int")).join(_parted(bench), ["h", "part"])
+    met = flat.join(F.broadcast(bench), "h") if few else flat.withColumn("part", F.pmod(F.xxhash64("t", "p"), F.lit(PARTS)).cast("int")).join(bench.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))), ["h", "part"])
     hits = written(met.select("t", "u", "i", "k", "h", "p", "q", "w", "total").distinct())
 
     # Texts whose hits could reach the coverage at all.
@@ -159,18 +154,19 @@ def items_in_texts(docs: DataFrame, benchmark: DataFrame, text: str = "text", it
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", **options: object) -> DataFrame:
     """``id, item, n_windows, coverage, exact`` of every document that holds an item; ``options`` as ``items_in_texts`` has them."""
-    found = _parted(written(items_in_texts(docs, benchmark, text, item, item_text, **options)))
-    rows = docs.select(F.col(id).alias("id"), *_text_key(text)).where("id is not null").withColumn("part", F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int"))
-    out = rows.join(found, ["t", "u", "part"]).groupBy("id", "item").agg(F.max(F.struct("n_windows", "coverage", "exact")).alias("x"))
+    found = written(items_in_texts(docs, benchmark, text, item, item_text, **options))
+    rows = docs.select(F.col(id).alias("id"), *_text_key(text)).where("id is not null")
+    out = salted_join(rows, found, ["t", "u"], ["id"], hot=hot_keys(rows, ["t", "u"], docs.count()))
+    out = out.groupBy("id", "item").agg(F.max(F.struct("n_windows", "coverage", "exact")).alias("x"))
     return out.select(F.col("id").alias(id), F.col("item").alias(item), "x.*")
 
 
 def without_items(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", **options: object) -> DataFrame:
     """The rows of ``docs``, with or without an id, whose text holds no item."""
-    found = _parted(written(items_in_texts(docs, benchmark, text, item, item_text, **options).select("t", "u").distinct()))
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_text_key(text))
-    spread = keyed.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(PARTS)).cast("int"))
-    return spread.join(found, ["t", "u", "part"], "left_anti").select("row.*")
+    found = written(items_in_texts(docs, benchmark, text, item, item_text, **options).select("t", "u").distinct())
+    rest = [F.col(f"row.`{c}`") for c in docs.columns if c != text] or [F.lit(0)]
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_text_key(text)).withColumn("spread", F.xxhash64(*rest))
+    return without(keyed, found, ["t", "u"], ["spread"], docs.count()).select("row.*")
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

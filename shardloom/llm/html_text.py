@@ -1,17 +1,27 @@
 """HTML extraction (operator 4): main text by parser events and text-to-tag ratios.
 
 The standard library's parser turns a page into lines, one per block of text,
-each with the number of tags seen in it and the containers around it.  Menus,
-headers, footers, asides, forms, scripts, hidden parts and elements whose class,
-id or role names a notice, advert, sidebar or comment area are marked.  Each
-line's ratio of text to tags is smoothed with a Gaussian over the unmarked
-lines; lines whose smoothed ratio passes a threshold (a share of its standard
-deviation) form the content clusters.  The region is the innermost container
-that holds nearly all clustered text, an ``article`` or ``main`` being preferred
-where it holds any; every unmarked line of the region is kept, however short.
+each with the number of tags seen in it and the containers around it.  Lines of
+menus, headers, footers, asides, forms, scripts, hidden parts and containers
+that are named as an advert, a notice, a sidebar or a comment area (``_STRONG``)
+are left out.  Each other line's ratio of text to tags is smoothed with a
+Gaussian; lines whose smoothed ratio passes a threshold (a share of the ratios'
+standard deviation) form the content clusters.
+
+The region: where an ``article`` or ``main`` holds clustered lines, all of them;
+else the innermost container that holds ``SHARE`` of the clustered text.  Every
+line of the region is kept, however short, and without an article also every
+clustered line outside it that passes by its own ratio too; the other lines,
+such as lists of links, are not.
+Containers whose names only resemble those of ``_STRONG`` (``_WEAK``) count as
+outside where none of their lines is clustered, and never add lines to it.  Names of paragraphs, headings
+and items never matter.
 
 White space in a line becomes one space, lines are joined by two line feeds.
-Rows: one per input row.  A null, empty or text-free page gives an empty text.
+Rows: one per input row, repeated rows included.  A null, empty or text-free
+page gives an empty text.  Very long pages are parsed whole, one at a time.  Of
+containers that hold the same text the innermost counts.  Other columns are kept
+as they are, but ``text`` and ``n_chars`` replace columns of these names.
 """
 
 from __future__ import annotations
@@ -32,10 +42,9 @@ _BLOCK = frozenset("address article aside blockquote body caption center dd deta
 _MARKED = frozenset("nav footer aside form script style noscript template head title button select textarea input iframe object svg canvas menu dialog search".split())
 _SILENT = frozenset("script style noscript template head svg iframe object canvas".split())
 _CLOSED_BY_BLOCK = frozenset("p h1 h2 h3 h4 h5 h6".split())
-_NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|sponsor\w*|promo\w*|banner\w*|cookie\w*|consent\w*|gdpr|notice\w*|popup\w*|modal\w*|overlay\w*|newsletter\w*|subscri\w*|paywall\w*|sidebar\w*|side|aside|rail|widget\w*|related\w*|recommend\w*|share|sharing|social\w*|comment\w*|replies|reply|respond|disqus\w*|nav|navbar\w*|navigation|menu\w*|breadcrumb\w*|pagination|pager|masthead|footer\w*|site-header|page-header|topbar|toolbar|skip-link|login|signup|search\w*|copyright|disclaimer)(?=$|[\s_-])",
-    re.I,
-)
+_TEXT = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th blockquote pre figcaption caption html body article main".split())
+_STRONG = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies cookie-notice cookie-banner cookie-consent consent gdpr notice notices popup modal overlay newsletter newsletter-signup subscribe paywall sidebar side-bar aside rail widget widgets related related-posts related-articles recommended share sharing share-buttons social social-share comment comments comment-list comments-area reader-comments replies reply respond disqus disqus_thread nav navbar navigation menu breadcrumb breadcrumbs pagination pager masthead footer site-footer site-header page-header topbar toolbar skip-link login signup search search-form copyright".split())
+_WEAK = re.compile(r"(?:^|[_-])(?:ad|ads|advert\w*|sponsor\w*|promo\w*|banner\w*|cookie\w*|consent|notice\w*|popup\w*|modal\w*|newsletter\w*|subscri\w*|sidebar\w*|widget\w*|related\w*|recommend\w*|share|social\w*|comment\w*|replies|reply|nav|navbar\w*|menu\w*|breadcrumb\w*|pagination|footer\w*|disclaimer)(?=$|[_-])")
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _SPACE = re.compile(r"\s+")
@@ -44,12 +53,12 @@ THRESHOLD, SIGMA, SHARE = 0.5, 1.0, 0.85
 
 
 class Lines(HTMLParser):
-    """Parser whose events become lines: (text, tags, containers, marked)."""
+    """Parser whose events become lines: (text, tags, containers, marked, weak), ``weak`` being the outermost weakly named container, or -1."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, tuple[int, ...], bool]] = []
-        self.open: list[tuple[str, int, bool, bool]] = []  # tag, number, marked, silent
+        self.lines: list[tuple[str, int, tuple[int, ...], bool, int]] = []
+        self.open: list[tuple[str, int, bool, bool, int]] = []  # tag, number, marked, silent, weak
         self.kind: list[str] = []
         self.text: list[str] = []
         self.tags = 0
@@ -59,7 +68,8 @@ class Lines(HTMLParser):
             line = _SPACE.sub(" ", "".join(self.text)).strip()
             self.text = []
             if line:
-                self.lines.append((line, self.tags, tuple(n for _, n, _, _ in self.open), bool(self.open) and self.open[-1][2]))
+                last = self.open[-1] if self.open else ("", -1, False, False, -1)
+                self.lines.append((line, self.tags, tuple(x[1] for x in self.open), last[2], last[4]))
                 self.tags = 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -79,20 +89,22 @@ class Lines(HTMLParser):
         if tag in _VOID:
             return
         values = dict(attrs)
-        named = tag not in ("html", "body", "article", "main") or "comment" in str(values.get("class")).lower()
-        inside = any(t in ("article", "main") for t, _, _, _ in self.open)
-        marked = bool(self.open) and self.open[-1][2]
+        inside = any(x[0] in ("article", "main") for x in self.open)
+        _, _, marked, silent, weak = self.open[-1] if self.open else ("", -1, False, False, -1)
         marked = marked or tag in _MARKED or (tag == "header" and not inside) or str(values.get("role")).lower() in _ROLES or "hidden" in values or str(values.get("aria-hidden")).lower() == "true" or _HIDDEN.search(values.get("style") or "") is not None
-        marked = marked or (named and any(values.get(a) and _NAMED.search(values[a]) for a in ("class", "id")))
-        silent = bool(self.open) and self.open[-1][3] or tag in _SILENT
-        self.open.append((tag, len(self.kind), marked, silent))
+        if tag in _BLOCK and tag not in _TEXT:
+            names = f"{values.get('class') or ''} {values.get('id') or ''}".lower().split()
+            marked = marked or any(n in _STRONG for n in names)
+            if weak < 0 and any(_WEAK.search(n) for n in names):
+                weak = len(self.kind)
+        self.open.append((tag, len(self.kind), marked, silent or tag in _SILENT, weak))
         self.kind.append(tag)
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k][0] == tag:
-                if any(t in _BLOCK for t, _, _, _ in self.open[k:]):
+                if any(x[0] in _BLOCK for x in self.open[k:]):
                     self.flush()
                 del self.open[k:]
                 return
@@ -130,24 +142,30 @@ def main_text(html: str | None, threshold: float = THRESHOLD, sigma: float = SIG
         parser = _parsed(html)
     except AssertionError:  # the parser gives up on some broken declarations; they are then text
         parser = _parsed(html.replace("<![", "&lt;!["))
-    free = [(text, tags, within) for text, tags, within, marked in parser.lines if not marked]
+    free = [(text, tags, within, weak) for text, tags, within, marked, weak in parser.lines if not marked]
     if not free:
         return ""
-    ratios = smooth(np.array([len(text) / max(tags, 1) for text, tags, _ in free]), sigma)
-    content = ratios >= min(threshold * ratios.std(), ratios.max())
+    plain = np.array([len(text) / max(tags, 1) for text, tags, _, _ in free])
+    ratios = smooth(plain, sigma)
+    bound = min(threshold * ratios.std(), ratios.max())
+    content = ratios >= bound
+    # Weakly named containers without a clustered line are left out.
+    telling = {weak for (_, _, _, weak), good in zip(free, content) if good}
+    free, content, plain = zip(*[x for x in zip(free, content, plain) if x[0][3] < 0 or x[0][3] in telling])
     held: dict[int, int] = {}
-    for (text, _, within), good in zip(free, content):
+    for (text, _, within, _), good in zip(free, content):
         if good:
             for n in within:
                 held[n] = held.get(n, 0) + len(text)
-    total = sum(len(text) for (text, _, _), good in zip(free, content) if good)
-    articles = {n for n in held if parser.kind[n] == "article"} or {n for n in held if parser.kind[n] == "main"}
-    if articles:
-        region = articles
-    else:
-        inner = [n for n, size in held.items() if size >= share * total and parser.kind[n] in _BLOCK and parser.kind[n] not in _CLOSED_BY_BLOCK]
-        region = {max(inner)} if inner else None
-    return "\n\n".join(text for text, _, within in free if region is None or region & set(within))
+    total = sum(len(x[0]) for x, good in zip(free, content) if good)
+    for tag in ("article", "main"):
+        if any(parser.kind[n] == tag for n in held):
+            return "\n\n".join(text for text, _, within, _ in free if any(parser.kind[n] == tag for n in within))
+    inner = [n for n, size in held.items() if size >= share * total and parser.kind[n] in _BLOCK and parser.kind[n] not in _CLOSED_BY_BLOCK]
+    region = max(inner) if inner else None
+    # Outside the region a line needs a ratio of its own, not only good neighbours, and no doubtful name.
+    own = [good and ratio >= bound and x[3] < 0 for x, good, ratio in zip(free, content, plain)]
+    return "\n\n".join(text for (text, _, within, _), good in zip(free, own) if good or region is None or region in within)
 
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:

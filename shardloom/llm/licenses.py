@@ -9,12 +9,18 @@ that are aligned.
 A text can hold a notice several times, and long texts hold few unique words,
 so texts are aligned in windows: neighbouring pairs of template words are looked
 up in the text, and pairs that agree on where the template would begin make one
-window of twice the template's length.  Before all this a text must hold one of
-a template's longest words, which every reported match must.
+window of twice the template's length.  Windows of one template that cover too
+little of it are put together, by the longest increasing subsequence of what
+they aligned, so a notice with other words in between is found as long as it
+stretches over at most ``reach`` times the template's length (templates of fewer
+than ``LONG`` words, whose words are met anywhere, must lie in one window).
+Before all this a text must hold one of a template's longest words, which every
+reported match must.
 
 Rows: one per match of a row's text, so repeated ids repeat their matches.
 Null and empty texts have none.  Overlapping matches keep the larger coverage,
-then the longer template, then the first by name.
+then the longer template, then the first by name.  Very long texts are read
+whole.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,6 +38,8 @@ from pyspark.sql import functions as F
 from shardloom.llm.common import table, text_of
 
 COVERAGE = 0.8
+#: How many times its template's length a match may stretch over, and words of a template that may be met in pieces.
+REACH, LONG = 6, 20
 _WORD = re.compile(r"[^\W_]+(?:[.'-][^\W_]+)*")
 #: Beginnings of words that any text holds; they make poor filters.
 _COMMON = {w[:k] for w in "the under and this that with any not may you from work free one can provided other".split() for k in range(3, 8)}
@@ -113,14 +121,16 @@ class Match:
 
 
 class Scanner:
-    """Templates prepared for scanning; ``coverage`` is the least share of a template's words."""
+    """Templates prepared for scanning; ``coverage`` is the least share of a template's words, ``reach`` how many times its length a match may have."""
 
-    def __init__(self, templates: dict[str, str], coverage: float = COVERAGE):
+    def __init__(self, templates: dict[str, str], coverage: float = COVERAGE, reach: int = REACH):
+        self.reach = reach
         self.coverage, self.templates = coverage, {n: words(t) for n, t in sorted(templates.items())}
         self.pairs = {n: {} for n in self.templates}
         for name, t in self.templates.items():
             for k in range(len(t) - 1):
                 self.pairs[name].setdefault((t[k], t[k + 1]), []).append(k)
+        self.wanted = {p for pairs in self.pairs.values() for p in pairs}
         self.stems = self._stems()
 
     def _stems(self) -> list[str]:
@@ -159,31 +169,60 @@ class Scanner:
         if not any(stem in low for stem in self.stems):
             return []
         text = words(content)
-        wanted = {p for pairs in self.pairs.values() for p in pairs}
         places: dict[tuple[str, str], list[int]] = {}
         for i, pair in enumerate(zip(text, text[1:])):
-            if pair in wanted:
+            if pair in self.wanted:
                 places.setdefault(pair, []).append(i)
         found: list[Match] = []
         for name, template in self.templates.items():
+            parts: list[list[tuple[int, int]]] = []
             for start, end in self.windows(text, places, name):
-                pairs = align(text[start:end], template)
+                pairs = [(start + i, k) for i, k in align(text[start:end], template)]
                 if pairs and len(pairs) >= self.coverage * len(template):
-                    found.append(Match(name, len(pairs) / len(template), start + pairs[0][0], start + pairs[-1][0] + 1, len(pairs)))
+                    found.append(self._match(name, pairs))
+                elif pairs:
+                    parts.append(pairs)
+            if len(template) >= LONG:
+                found += self._together(name, parts)
         kept: list[Match] = []
+        begins: list[int] = []
         for m in sorted(found, key=lambda m: (-m.coverage, -m.aligned, m.end - m.start, m.license, m.start)):
-            if all(m.end <= k.start or m.start >= k.end for k in kept):
-                kept.append(m)
-        return sorted(kept, key=lambda m: m.start)
+            at = bisect_left(begins, m.start)
+            if (at == 0 or kept[at - 1].end <= m.start) and (at == len(kept) or kept[at].start >= m.end):
+                begins.insert(at, m.start)
+                kept.insert(at, m)
+        return kept
+
+    def _match(self, name: str, pairs: list[tuple[int, int]]) -> Match:
+        return Match(name, len(pairs) / len(self.templates[name]), pairs[0][0], pairs[-1][0] + 1, len(pairs))
+
+    def _together(self, name: str, parts: list[list[tuple[int, int]]]) -> list[Match]:
+        """Matches made of several windows' alignments, each beginning with the first window that isn't in a match yet."""
+        size, out, first = len(self.templates[name]), [], 0
+        parts = sorted(parts)
+        while first < len(parts) - 1:
+            begin = parts[first][0][0]
+            last = first
+            while last < len(parts) and parts[last][0][0] < begin + self.reach * size:
+                last += 1
+            near = {p for part in parts[first:last] for p in part if p[0] < begin + self.reach * size}
+            pairs = increasing(sorted(near, key=lambda p: (p[0], -p[1])))
+            if last - first > 1 and len(pairs) >= self.coverage * size:
+                out.append(self._match(name, pairs))
+                while first < len(parts) and parts[first][0][0] <= pairs[-1][0]:
+                    first += 1
+            else:
+                first += 1
+        return out
 
 
-def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, id: str = "doc_id", text: str = "text", coverage: float = COVERAGE) -> DataFrame:
+def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, id: str = "doc_id", text: str = "text", coverage: float = COVERAGE, reach: int = REACH) -> DataFrame:
     """``id, license, coverage, start_word, end_word, aligned_words`` of every match; see the module."""
     kind = docs.schema[id].dataType.simpleString()
     chosen = dict(TEMPLATES if templates is None else templates)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(chosen, coverage)
+        scanner = Scanner(chosen, coverage, reach)
         for batch in batches:
             rows = [(k, m) for k, content in enumerate(batch.column("text")) for m in scanner.scan(content.as_py())]
             if rows:

@@ -1,15 +1,23 @@
 """Media columns (operator 9): interleaved document sequences with stored payloads.
 
 ``interleave`` parses pages into ordered sequences of text and media-reference
-structs with positions and captions; ``store`` writes payloads as 8-bit RGB
-images (PNG, 64 pixels or 192 samples a row, no loss) with a digest, reads the
-stored bytes back and computes features from the pixels; ``resolve`` joins the
-references to the stored media by digest and puts each sequence together again
-in order.  Only digests, sizes and features are shuffled, never payloads: they
-are computed beside the bytes.
-
-Rows: one per input row.  A null or empty text is one row of 192 blanks.  Equal
-texts give equal values.  References without a stored payload keep a null.
+structs with positions and captions; ``store`` turns payloads into 8-bit RGB
+images (PNG, 64 pixels or 192 samples a row, no loss) with a digest, to be
+written as a table; ``described`` reads the written bytes back and computes
+features from the pixels; ``resolve`` joins the references to the described
+media by digest and puts each sequence together again in order.  Only digests,
+sizes and features are shuffled, never payloads.  Digests that many references
+share are spread.
+
+The query makes a sequence of one reference for every document, stores the
+payloads, reads them back and resolves the sequences.
+
+Rows: one per input row, told apart by a number of their own, so repeated and
+null ids keep their sequences.  A null or empty text is one row of 192 blanks;
+a null or empty page is an empty sequence.  Very long payloads are handled one
+at a time.  Equal texts give equal values; a payload that a task has stored
+lately is not stored again.  References without a stored payload keep a null.
+Other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,16 +30,19 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardloom.llm.common import table, text_of
+from shardloom.llm.common import hot_keys, salted_join, table, text_of, written
 
 #: Samples in a row of pixels.
 ROW = 192
 _SIGN = b"\x89PNG\r\n\x1a\n"
 ITEM = "struct<position:int,kind:string,text:string,digest:string,caption:string>"
-STORED = "digest string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+#: Digests that a task remembers, so as not to store a payload again, and bytes in one batch.
+SEEN, BATCH_BYTES = 100_000, 8 << 20
+DESCRIBED = "digest string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
 def payload_of(data: bytes) -> bytes:
@@ -88,36 +99,62 @@ def feature(samples: np.ndarray) -> str:
     return ",".join(f"{x:.4f}" for x in [*mean, *deviation]) + f",{bits:016x}"
 
 
-def store(payloads: DataFrame, data: str = "data", keep_media: bool = False) -> DataFrame:
-    """Of each row of ``payloads`` (binary column ``data``): its digest and what STORED lists, and with ``keep_media`` the ``media`` bytes themselves.
+def store(payloads: DataFrame, data: str = "data") -> DataFrame:
+    """``digest, n_bytes, media`` of the rows of ``payloads`` (binary column ``data``), ready to be written.
 
     The digest is the SHA-256 of the data as given, null counting as empty.
+    Payloads that a task has met lately come once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        rows: list[tuple] = []
+        held = 0
         for batch in batches:
-            rows: list[tuple] = []
             for value in batch.column(0):
                 raw = value.as_py() or b""
-                media = encode(payload_of(raw))
+                digest = hashlib.sha256(raw)
+                if digest.digest() in seen:
+                    continue
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(digest.digest())
+                rows.append((digest.hexdigest(), len(raw), encode(payload_of(raw))))
+                held += len(rows[-1][2])
+                if held >= BATCH_BYTES:
+                    yield _batch(rows, "digest string, n_bytes long, media binary")
+                    rows, held = [], 0
+        if rows:
+            yield _batch(rows, "digest string, n_bytes long, media binary")
+
+    return payloads.select(F.coalesce(F.col(data).cast("binary"), F.lit(b"")).alias("data")).mapInArrow(run, "digest string, n_bytes long, media binary")
+
+
+def described(stored: DataFrame) -> DataFrame:
+    """What DESCRIBED lists, one row for each digest, from the media bytes of a stored table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for digest, n_bytes, media in zip(batch.column("digest"), batch.column("n_bytes"), batch.column("media")):
+                media = media.as_py()
                 samples = decode(media)
                 back = samples.tobytes()
-                row = (hashlib.sha256(raw).hexdigest(), len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature(samples))
-                rows.append(row + (media,) * keep_media)
+                rows.append((digest.as_py(), n_bytes.as_py(), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature(samples)))
                 if len(rows) >= 1000:
-                    yield _batch(rows, keep_media)
+                    yield _batch(rows, DESCRIBED)
                     rows = []
             if rows:
-                yield _batch(rows, keep_media)
+                yield _batch(rows, DESCRIBED)
 
-    return payloads.select(F.coalesce(F.col(data).cast("binary"), F.lit(b"")).alias("data")).mapInArrow(run, STORED + ", media binary" * keep_media)
+    found = stored.select("digest", "n_bytes", "media").mapInArrow(run, DESCRIBED)
+    return found.groupBy("digest").agg(*[F.first(c).alias(c) for c in found.columns[1:]])
 
 
-def _batch(rows: list[tuple], keep_media: bool) -> pa.RecordBatch:
-    names = [x.split()[0] for x in STORED.split(", ")] + ["media"] * keep_media
-    types = {"string": pa.string(), "long": pa.int64()}
-    kinds = [types[x.split()[1]] for x in STORED.split(", ")] + [pa.binary()] * keep_media
-    return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    fields = [x.split() for x in schema.split(", ")]
+    types = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
+    return pa.record_batch([pa.array(c, types[kind]) for c, (_, kind) in zip(zip(*rows), fields)], names=[name for name, _ in fields])
 
 
 class _Sequence(HTMLParser):
@@ -188,33 +225,41 @@ def sequence_of(html: str | None) -> list[dict]:
 
 
 def interleave(pages: DataFrame, id: str = "page_id", html: str = "html") -> DataFrame:
-    """``id`` and ``items``, the ordered text and media-reference structs of each page."""
+    """``row`` (a number of the row's own), ``id`` and ``items``, the ordered text and media-reference structs of each page."""
     item = pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
-                yield pa.record_batch({"id": part.column("id"), "items": pa.array([sequence_of(x) for x in part.column("html").to_pylist()], pa.list_(item))})
+                items = pa.array([sequence_of(x) for x in part.column("html").to_pylist()], pa.list_(item))
+                yield pa.record_batch({"row": pa.array(range(row, row + part.num_rows), pa.int64()), "id": part.column("id"), "items": items})
+                row += part.num_rows
 
     kind = pages.schema[id].dataType.simpleString()
-    return pages.select(F.col(id).alias("id"), text_of(html).alias("html")).mapInArrow(run, f"id {kind}, items array<{ITEM}>").withColumnRenamed("id", id)
+    return pages.select(F.col(id).alias("id"), text_of(html).alias("html")).mapInArrow(run, f"row long, id {kind}, items array<{ITEM}>").withColumnRenamed("id", id)
 
 
 def resolve(sequences: DataFrame, media: DataFrame, id: str = "page_id") -> DataFrame:
-    """``sequences`` with each reference's stored ``media_sha256, media_bytes, feature`` (null if unknown), in order.
-
-    ``id`` must be unique.  Each digest is looked up once: repeated payloads are one row of the stored media.
-    """
-    known = media.groupBy("digest").agg(*[F.first(c).alias(c) for c in ("media_sha256", "media_bytes", "feature")])
-    flat = sequences.select(id, F.explode_outer("items").alias("item")).select(id, "item.*").join(known, "digest", "left")
-    parts = F.struct("position", "kind", "text", "digest", "caption", "media_sha256", "media_bytes", "feature")
-    return flat.groupBy(id).agg(F.array_sort(F.collect_list(F.when(F.col("position").isNotNull(), parts))).alias("items"))
+    """``row``, ``id`` and ``items``, each reference with what ``media`` (of ``described``) has of it, or nulls, in order."""
+    columns = [x.split()[0] for x in DESCRIBED.split(", ")[1:]]
+    kept = written(sequences)
+    flat = kept.select("row", F.col(id).alias("id"), F.explode_outer("items").alias("item")).select("row", "id", "item.*")
+    parts = F.when(F.col("position").isNotNull(), F.struct("position", "kind", "text", "digest", "caption", *columns))
+    texts = flat.where("digest is null").select("row", "id", *[F.col(c) for c in ("position", "kind", "text", "digest", "caption")], *[F.lit(None).cast(media.schema[c].dataType).alias(c) for c in columns])
+    refs = flat.where("digest is not null")
+    found = salted_join(refs, media.select("digest", *columns), ["digest"], ["row", "position"], "left", hot_keys(refs, ["digest"], kept.count()))
+    every = texts.unionByName(found.select(*texts.columns))
+    return every.groupBy("row", "id").agg(F.array_sort(F.collect_list(parts)).alias("items")).withColumnRenamed("id", id)
 
 
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as a stored payload: its reference, a digest, joined to the stored media, one row per distinct payload."""
+    """Every document as a sequence of one reference, resolved against the stored payloads as read back."""
     docs = table(spark, sf_dir, "documents").select("doc_id", text_of("text").cast("binary").alias("data"))
-    columns = [x.split()[0] for x in STORED.split(", ")[1:]]
-    media = store(docs).groupBy("digest").agg(*[F.first(c).alias(c) for c in columns])
-    return docs.select("doc_id", F.sha2("data", 256).alias("digest")).join(media, "digest").select("doc_id", *columns, "digest")
+    stored = written(store(docs))
+    page = F.concat(F.lit('<img data-digest="'), F.sha2("data", 256), F.lit('">'))
+    sequences = interleave(docs.select("doc_id", page.alias("html")), "doc_id")
+    found = resolve(sequences, described(stored), "doc_id").select("doc_id", F.get("items", F.lit(0)).alias("item"))
+    columns = [x.split()[0] for x in DESCRIBED.split(", ")[1:]]
+    return found.select("doc_id", *[F.col(f"item.{c}").alias(c) for c in columns], F.col("item.digest").alias("digest"))

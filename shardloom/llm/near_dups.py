@@ -35,7 +35,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardloom.llm.common import cut, salted_join, table, text_of, written
+from shardloom.llm.common import HOT_ROWS, HOT_SHARE, cut, hot_keys, maybe_among, salted_join, table, text_of, without, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BANDS, ROWS, BITS = 20, 4, 256
@@ -98,15 +98,15 @@ def components(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     """
     both = cut(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a <> b").distinct())
     label = cut(vertices.select("v", F.col("v").alias("c")))
-    n_edges, n_vertices = both.count(), label.count()
+    n_vertices, hubs = label.count(), hot_keys(both, ["b"], both.count())
     while True:
-        near = salted_join(both, label.select(F.col("v").alias("b"), "c"), ["b"], ["a"], rows=n_edges).groupBy("a").agg(F.min("c").alias("m"))
+        near = salted_join(both, label.select(F.col("v").alias("b"), "c"), ["b"], ["a"], hot=hubs).groupBy("a").agg(F.min("c").alias("m"))
         spread = label.join(near, label["v"] == near["a"], "left").select("v", F.least("c", F.coalesce("m", "c")).alias("c"), F.col("c").alias("old"))
         # A vertex whose label sank takes its old label with it.
         sunk = spread.where("c < old").groupBy(F.col("old").alias("v")).agg(F.min("c").alias("d"))
         spread = cut(spread.join(sunk, "v", "left").select("v", F.least("c", F.coalesce("d", "c")).alias("c"), "old"))
         target = spread.select(F.col("v").alias("c"), F.col("c").alias("d"))
-        after = cut(salted_join(spread, target, ["c"], ["v"], rows=n_vertices).select("v", F.col("d").alias("c"), (F.col("d") < F.col("old")).alias("moved")))
+        after = cut(salted_join(spread, target, ["c"], ["v"], hot=hot_keys(spread, ["c"], n_vertices)).select("v", F.col("d").alias("c"), (F.col("d") < F.col("old")).alias("moved")))
         if after.where("moved").isEmpty():
             return after.select("v", "c")
         label = after.select("v", "c")
@@ -122,9 +122,12 @@ def _grouped(docs: DataFrame, id: str, text: str, size: int, inter: int, union:
     # A class's number is fixed once its table is written.
     classes = written(first.select(F.monotonically_increasing_id().alias("r"), "n", "f1", "f2", F.struct("x.none", "x.id", "x.k").alias("row"), *[f"x.{k}" for k in sketch], "x.bands"))
     placed = classes.select("r", F.explode("bands").alias("bucket"))
-    n_placed = bands * classes.count()
+    n_classes = classes.count()
+    n_placed = bands * n_classes
     groups = written(placed.groupBy("bucket").agg(F.min("r").alias("leader"), F.count(F.lit(1)).alias("m")).where("m > 1"))
-    members = cut(salted_join(placed, groups.select("bucket", "leader"), ["bucket"], ["r"], rows=n_placed))
+    crowded = written(groups.where(F.col("m") >= max(HOT_ROWS, n_placed / HOT_SHARE)).select("bucket"))
+    crowded = None if crowded.isEmpty() else crowded
+    members = cut(salted_join(placed, groups.select("bucket", "leader"), ["bucket"], ["r"], hot=crowded))
     marks = cut(classes.join(members.select("r").distinct(), "r", "left_semi").select("r", "n", F.col("row.id").alias("id"), F.col("row.k").alias("k"), *sketch))
 
     def fits(x: str, y: str) -> Column:
@@ -136,19 +139,23 @@ def _grouped(docs: DataFrame, id: str, text: str, size: int, inter: int, union:
 
     # The sets of those classes only, from the text of one row of each.
     texts = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), row_key(id, text).alias("k"))
-    holders = texts.join(marks.select("k", "r", F.col("id").alias("of")), "k").where(F.col("id").eqNullSafe(F.col("of")))
+    some = maybe_among(texts, ["k"], marks).where("maybe")
+    holders = some.join(marks.select("k", "r", F.col("id").alias("of")), "k").where(F.col("id").eqNullSafe(F.col("of")))
     sets = written(shingles(holders.select("k", "r", "text"), "text", size).select("k", "r", "set").dropDuplicates(["k", "r"]).select("r", "set"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, b), cut, those that are linked by their full sets."""
-        left = sets.select(F.col("r").alias("a"), F.col("set").alias("sa"))
+        """Of pairs (a, b), cut, those that are linked by their full sets; many may share an ``a``."""
         right = sets.select(F.col("r").alias("b"), F.col("set").alias("sb"))
-        both = salted_join(pairs, left, ["a"], ["b"]).join(right, "b").withColumn("i", F.size(F.array_intersect("sa", "sb")).cast("long"))
+        left = sets.select(F.col("r").alias("a"), F.col("set").alias("sa"))
+        hubs = hot_keys(pairs, ["a"], pairs.count())
+        if hubs is not None:
+            left = left.join(pairs.select("a").distinct(), "a", "left_semi")
+        both = salted_join(pairs.join(right, "b"), left, ["a"], ["b"], hot=hubs).withColumn("i", F.size(F.array_intersect("sa", "sb")).cast("long"))
         return both.where(F.col("i") * inter >= (F.size("sa") + F.size("sb") - F.col("i")) * union).select("a", "b")
 
     led = cut(members.where("leader <> r").select("r", "leader").distinct())
     leaders = marks.select(F.col("r").alias("leader"), F.struct("n", *sketch).alias("x"))
-    with_leader = salted_join(led, leaders, ["leader"], ["r"]).join(marks.select("r", F.struct("n", *sketch).alias("y")), "r")
+    with_leader = salted_join(led, leaders, ["leader"], ["r"], hot=hot_keys(led, ["leader"], led.count())).join(marks.select("r", F.struct("n", *sketch).alias("y")), "r")
     best = with_leader.where(fits("x", "y")).groupBy("r").agg(F.min(F.struct(near("x", "y").alias("d"), F.col("leader").alias("l"))).alias("best"))
     links = cut(confirmed(cut(best.select(F.col("best.l").alias("a"), F.col("r").alias("b")))))
     vertices = marks.select(F.col("r").alias("v"))
@@ -158,7 +165,7 @@ def _grouped(docs: DataFrame, id: str, text: str, size: int, inter: int, union:
     parts = labelled.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("n"))
     mixed = parts.groupBy("bucket").agg(F.max(F.struct("n", "c")).alias("top"), F.sum("n").alias("m"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     mixed = written(mixed.select("bucket", F.col("top.c").alias("main"), F.ceil(F.col("m") / SALT_SIZE).cast("int").alias("salts")))
-    sized = salted_join(labelled, mixed, ["bucket"], ["r"]).withColumn("big", F.col("c") == F.col("main")).join(marks.select("r", "n", *sketch), "r")
+    sized = salted_join(labelled, mixed, ["bucket"], ["r"], hot=crowded).withColumn("big", F.col("c") == F.col("main")).join(marks.select("r", "n", *sketch), "r")
     one = sized.withColumn("salt", F.pmod(F.xxhash64("r"), F.col("salts")).cast("int")).alias("x")
     other = sized.where("not big").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("y")
     once = F.col("x.big") | (F.col("x.r") < F.col("y.r"))
@@ -172,8 +179,9 @@ def _grouped(docs: DataFrame, id: str, text: str, size: int, inter: int, union:
     numbered = classes.select("n", "f1", "f2", "r", "row").join(merged.withColumnRenamed("v", "r"), "r", "left").join(degree, "r", "left")
     numbered = written(numbered.select("n", "f1", "f2", "r", "row", F.coalesce("c", "r").alias("c"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
     reps = numbered.groupBy("c").agg(F.min("row").alias("rep"))
-    class_of = salted_join(numbered.drop("row"), reps, ["c"], ["r"]).select("n", "f1", "f2", "rep", "n_links")
-    found = salted_join(known.select("id", "k", "n", "f1", "f2"), class_of, ["n", "f1", "f2"], ["id", "k"]).select("id", "k", "n", "rep", "n_links")
+    class_of = salted_join(numbered.drop("row"), reps, ["c"], ["r"], hot=hot_keys(numbered, ["c"], n_classes)).select("n", "f1", "f2", "rep", "n_links")
+    copied = hot_keys(known, ["n", "f1", "f2"], signed.count())
+    found = salted_join(known.select("id", "k", "n", "f1", "f2"), class_of, ["n", "f1", "f2"], ["id", "k"], hot=copied).select("id", "k", "n", "rep", "n_links")
     alone = F.struct(F.col("id").isNull().alias("none"), "id", "k").alias("rep")
     return found.unionByName(signed.where("n = 0").select("id", "k", "n", alone, F.lit(0).cast("long").alias("n_links")))
 
@@ -197,18 +205,16 @@ def _is_rep() -> Column:
 def without_near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 3, inter: int = 100, union: int = 85, bands: int = BANDS, rows: int = ROWS, bits: int = BITS) -> DataFrame:
     """The rows of ``docs`` that are kept: one of each component, and one of each group of rows with the same id and text."""
     found = _grouped(docs, id, text, size, inter, union, bands, rows, bits)
-    dropped = written(found.where(~_is_rep()).select("id", "k"))
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id).alias("id"), row_key(id, text).alias("k"))
-    repeated = written(keyed.groupBy("id", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id", "k"))
-
-    def among(rows: DataFrame, side: DataFrame, how: str) -> DataFrame:
-        l, r = rows.alias("l"), side.alias("r")
-        return l.join(r, (F.col("l.k") == F.col("r.k")) & F.col("l.id").eqNullSafe(F.col("r.id")), how)
-
-    left = among(keyed, dropped, "left_anti")
+    name = F.coalesce(F.col("id").cast("string"), F.lit("\0none")).alias("name")
+    dropped = written(found.where(~_is_rep()).select(name, "k"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    keyed = docs.select(row, F.col(id).alias("id"), row_key(id, text).alias("k")).select("row", name, "k")
+    repeated = written(keyed.groupBy("name", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name", "k"))
+    left = without(keyed, dropped, ["name", "k"], ["k"], docs.count())
     if not repeated.isEmpty():
-        once = among(left, repeated, "left_semi").groupBy("id", "k").agg(F.first("row").alias("row"))
-        left = among(left, repeated, "left_anti").select("row").union(once.select("row"))
+        again = maybe_among(left, ["name", "k"], repeated)
+        once = again.where("maybe").groupBy("name", "k").agg(F.first("row").alias("row"))
+        left = again.where("not maybe").select("row").union(once.select("row"))
     return left.select("row.*")
 
 

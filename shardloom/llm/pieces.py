@@ -3,8 +3,9 @@
 A *unit* is a stretch of text whose pieces do not depend on what surrounds it.
 In texts without runs of white space that hold a blank, every blank starts a
 new pre-token, so the parts between blanks (each with the blank before it) are
-units.  Other texts are cut into the library's own pre-tokens, and texts with
-added special tokens are given to the library whole.
+units.  Other texts, and those with a long stretch without a blank, are cut into
+the library's own pre-tokens, and texts with added special tokens are given to
+the library whole.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ import pyarrow.compute as pc
 #: White space next to a blank: there a blank need not start a pre-token.
 _SPACE = r"[\t-\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 RUNS = f"{_SPACE} | {_SPACE}"
+#: A stretch that is too long to be a unit of its own.
+LONG = r"[^ ]{128}"
 #: Characters whose class is the same in every Unicode version that the libraries use.
 SETTLED = r"^[\x00-\x{24f}\x{370}-\x{373}\x{391}-\x{3a1}\x{3a3}-\x{3ce}\x{400}-\x{481}\x{48a}-\x{513}\x{2010}-\x{2027}\x{2030}-\x{205e}\x{20a0}-\x{20b5}\x{3041}-\x{3096}\x{30a1}-\x{30fa}\x{4e00}-\x{9fa5}\x{ac00}-\x{d7a3}]*$"
 _SETTLED = re.compile(re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: f"\\u{int(m[1], 16):04x}", SETTLED)[:-1] + r"\Z")
@@ -73,7 +76,7 @@ class Pieces:
     def units(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, int, dict[int, str]]:
         """Of texts without nulls: owner (text) and number of every unit in order, the distinct units, how many of these can be joined, and the texts that must be encoded whole."""
         texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
-        hard = pc.or_(pc.match_substring_regex(texts, RUNS), pc.invert(pc.match_substring_regex(texts, SETTLED)))
+        hard = pc.or_(pc.match_substring_regex(texts, f"{RUNS}|{LONG}"), pc.invert(pc.match_substring_regex(texts, SETTLED)))
         whole: dict[int, str] = {}
         if self.special:
             marked = pc.match_substring_regex(texts, self.special)

@@ -36,7 +36,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardloom.llm.common import salted_join, table, text_of, written
+from shardloom.llm.common import hot_keys, salted_join, table, text_of, written
 
 
 #: Distinct texts in one segment of the index, about; matches whose places are summed up in one block.
@@ -184,7 +184,7 @@ def _flagged(docs: DataFrame, rules: tuple[Rule, ...], text: str) -> DataFrame:
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     rest = [F.col(f"row.`{c}`") for c in docs.columns if c != text] or [F.lit(0)]
     held = docs.select(row.alias("row"), text_of(text).alias("text"), F.xxhash64(text_of(text)).alias("t"))
-    joined = salted_join(held.withColumn("spread", F.xxhash64(*rest)), found, ["t"], ["spread"], "left", rows=n)
+    joined = salted_join(held.withColumn("spread", F.xxhash64(*rest)), found, ["t"], ["spread"], "left", hot_keys(held, ["t"], n))
     return joined.select("row", "text", F.coalesce("rules", F.lit(0)).alias("rules"))
 
 

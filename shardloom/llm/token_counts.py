@@ -3,13 +3,16 @@
 1. Every task reduces its texts to distinct pre-token groups with frequencies,
    Spark adds the frequencies up, and each distinct group is encoded once: the
    dictionary, written to the shared folder.
-2. The most frequent groups (``head`` at most, so a bounded broadcast) are
-   added up beside the texts; the rest of a text's frequencies are joined
-   to the dictionary by a shuffle.  No ids of a text are ever made.
+2. The most frequent groups (``head`` at most, of UNIT_BYTES at most: some 20 MB
+   as a broadcast) are added up beside the texts; the rest of a text's
+   frequencies are joined to the dictionary by a shuffle, to which the rows for
+   whole texts go in many parts.  No ids of a text are made but for the next case.
 
 Rows: one per input row, repeated ids and texts included.  A null or empty text
 has 0 bytes and 0 tokens.  A text with an added special token is counted by the
-library itself, which turns that string into one token.
+library itself, which turns that string into one token.  Texts with long
+stretches without blanks are cut into the library's own pre-tokens; a very long
+text is a chunk of its own.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,8 +29,10 @@ from pyspark.sql import functions as F
 from shardloom.llm.common import table, text_of, written
 from shardloom.llm.pieces import pieces, text_chunks
 
-#: Groups that are broadcast; about 25 bytes each.
-HEAD = 200_000
+#: Groups that are broadcast, and their bytes at most; about 25 bytes each.
+HEAD, UNIT_BYTES = 200_000, 64
+#: Parts of the rows for whole texts, which are joined to nothing.
+PARTS = 4096
 
 
 def dictionary(docs: DataFrame, text: str, model: str, ranks: str | None = None) -> DataFrame:
@@ -87,7 +92,7 @@ def count_tokens(docs: DataFrame, model: str, ranks: str | None = None, id: str
     """``id, n_bytes, n_tokens, over_limit, n_units`` for every row of ``docs``; see the module."""
     spark = docs.sparkSession
     counted = written(dictionary(docs, text, model, ranks))
-    frequent = most_frequent(counted, head).select("unit", "n_pieces").toArrow()
+    frequent = most_frequent(counted.where(F.octet_length("unit") <= UNIT_BYTES), head).select("unit", "n_pieces").toArrow()
     known = spark.sparkContext.broadcast((frequent.column("unit").combine_chunks(), frequent.column("n_pieces").to_numpy()))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,20 +108,20 @@ def count_tokens(docs: DataFrame, model: str, ranks: str | None = None, id: str
                 total[k] = len(pieces(model, ranks).whole(content))
             rows = np.arange(row, row + len(texts))
             n_units = np.bincount(owner, minlength=len(texts))
-            empty = pa.nulls(len(texts), pa.string())
-            yield pa.record_batch({"row": pa.array(rows), "id": ids, "n_bytes": pc.binary_length(texts).cast(pa.int64()), "n_units": pa.array(n_units, pa.int64()), "n": pa.array(total), "unit": empty})
+            empty = pa.array([""] * len(texts), pa.string())
+            yield pa.record_batch({"row": pa.array(rows), "part": pa.array(1 + rows % PARTS), "id": ids, "n_bytes": pc.binary_length(texts).cast(pa.int64()), "n_units": pa.array(n_units, pa.int64()), "n": pa.array(total), "unit": empty})
             rare = at[number] == len(names)
             pair, freq = np.unique(owner[rare] * len(units) + number[rare], return_counts=True)
             for start in range(0, len(pair), 50_000):
                 part, times = pair[start : start + 50_000], freq[start : start + 50_000]
                 who = part // len(units)
                 zero = pa.array(np.zeros(len(part), dtype=np.int64))
-                yield pa.record_batch({"row": pa.array(rows[who]), "id": ids.take(pa.array(who)), "n_bytes": zero, "n_units": zero, "n": pa.array(times, pa.int64()), "unit": units.take(pa.array(part % len(units)))})
+                yield pa.record_batch({"row": pa.array(rows[who]), "part": zero, "id": ids.take(pa.array(who)), "n_bytes": zero, "n_units": zero, "n": pa.array(times, pa.int64()), "unit": units.take(pa.array(part % len(units)))})
             row += len(texts)
 
     kind = docs.schema[id].dataType.simpleString()
-    found = docs.select(F.col(id).alias("id"), text_of(text).alias("text")).mapInArrow(frequencies, f"row long, id {kind}, n_bytes long, n_units long, n long, unit string")
-    joined = found.join(counted.select("unit", "n_pieces"), "unit", "left")
+    found = docs.select(F.col(id).alias("id"), text_of(text).alias("text")).mapInArrow(frequencies, f"row long, part long, id {kind}, n_bytes long, n_units long, n long, unit string")
+    joined = found.join(counted.select("unit", F.lit(0).cast("long").alias("part"), "n_pieces"), ["unit", "part"], "left")
     return (
         joined.groupBy("row", "id")
         .agg(F.sum("n_bytes").alias("n_bytes"), F.sum(F.col("n") * F.coalesce("n_pieces", F.lit(1))).alias("n_tokens"), F.sum("n_units").alias("n_units"))

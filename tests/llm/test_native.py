@@ -173,17 +173,21 @@ def test_ids_with_several_texts_and_rows_without(spark):
     assert got == sorted([(1, 1, True), (1, 1, True), (2, 1, False), (None, 1, False), (None, None, True)], key=str)
 
 
-def test_hot_keys_are_spread(spark, copies, monkeypatch):
+def test_hot_keys_are_spread(spark):
     from shardloom.llm import common
 
     big = spark.range(30_000).selectExpr("id", "if(id % 3 = 0, id, -1) a", "'x' b")
     small = spark.createDataFrame([(-1, "x", "hot"), (3, "x", "cold"), (-1, "y", "no")], "a long, b string, c string")
-    for how in ("inner", "left"):
-        out = common.salted_join(big, small, ["a", "b"], ["id"], how)
-        assert out.count() == (20_001 if how == "inner" else 30_000) and out.where("c = 'hot'").count() == 20_000
-    monkeypatch.setattr(common, "HOT_ROWS", 10)
-    df = spark.createDataFrame(list(copies.items()), "doc_id long, text string")
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dups.near_duplicates(df).collect()} == groups_of(copies)
+    hot = common.hot_keys(big, ["a", "b"], 30_000)
+    assert [tuple(r) for r in hot.collect()] == [(-1, "x")] and common.hot_keys(big, ["id"], 30_000) is None
+    for how, rows, hits in (("inner", 20_001, 20_000), ("left", 30_000, 20_000), ("left_anti", 9_999, 0)):
+        out = common.salted_join(big, small, ["a", "b"], ["id"], how, hot)
+        assert out.count() == rows and (not hits or out.where("c = 'hot'").count() == hits)
+    spread = common.salted_join(big, small, ["a", "b"], ["id"], "left", hot).where("a = -1")
+    assert max(r.n for r in big.where("a = -1").groupBy(F.pmod(F.xxhash64("id"), F.lit(common.SALTS))).agg(F.count(F.lit(1)).alias("n")).collect()) < 500
+    assert spread.count() == 20_000
+    left = common.without(big, small, ["a", "b"], ["id"], 30_000)
+    assert left.count() == 9_999 and left.columns == big.columns
 
 
 def test_many_equal_and_empty_texts(spark):

@@ -64,6 +64,27 @@ def test_counts_of_nothing(spark, awkward):
     assert token_counts.count_tokens(awkward.limit(0), MODEL, RANKS).count() == 0
 
 
+def test_texts_without_blanks(library):
+    texts = ["a,b;c." * 100, "字词" * 200 + "，" + "字" * 50, "x" * 500, "one two three"]
+    _, number, units, _, _ = pieces.Pieces(MODEL, RANKS).units(pa.array(texts))
+    cut = {u for t in texts[:3] for u in (t[a:b] for _, (a, b) in library.pre_tokenizer.pre_tokenize_str(t))}
+    assert cut <= set(units.to_pylist())
+    ids, count = pieces.Pieces(MODEL, RANKS).ids(pa.array(texts))
+    assert count.tolist() == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
+def test_steps_hold_equal_ids(spark):
+    docs = spark.range(800).selectExpr("id doc_id", "repeat(concat('word ', id, ' and more '), 1 + cast(id % 400 as int)) text").repartition(5)
+    rows = packing.pack(docs, MODEL, RANKS, pool=50_000, step_ids=8192).collect()
+    held = defaultdict(int)
+    for r in rows:
+        held[r.tier, r.step] += r.length
+    assert {t for t, _ in held} >= set(packing.TIERS)
+    for (tier, step), n in held.items():
+        last = max(s for t, s in held if t == tier)
+        assert n == 8192 or (step == last and n < 8192)
+
+
 def check_packed(rows, texts, library, top=2048):
     """Every id in one piece, sequences gapless, padding small."""
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
