@@ -125,6 +125,22 @@ class Dataset:
         df = self.scan(list(only)) if self.scan and only else self.df
         return self._with(mapped(df, self._keys(), f, schema, image, only, handlers, secure, on_error))
 
+    def decode(self, schema: str, *handlers: Callable[[str, bytes], Any] | str, pre: Sequence[Callable[[str, bytes], Any]] | None = None, post: Sequence[Callable[[str, bytes], Any]] | None = None, only: Sequence[str] | None = None, secure: bool = True, on_error: str = "fail") -> Dataset:
+        """The columns of ``schema`` (named like extensions) decoded by a chain of handlers: pre, own, post; see ``codecs.Chain``.
+
+        A handler that is a string is the form in which images are decoded.
+        """
+        from shardloom.functions import codecs
+
+        images = [h for h in handlers if isinstance(h, str)]
+        chain = codecs.Chain(tuple(h for h in handlers if not isinstance(h, str)), (codecs.unpack,) if pre is None else tuple(pre), None if post is None else tuple(post), images[-1] if images else None, secure)
+        df = self.scan(list(only)) if self.scan and only else self.df
+        return self._with(mapped(df, self._keys(), dict, schema, None, only, None, secure, on_error, chain))
+
+    def valid(self) -> Dataset:
+        """Samples that hold a field and aren't marked as bad."""
+        return self._with(project.valid(self.df))
+
     def log_keys(self, rank: int = 0, worker: int = 0, key: str = "__key__") -> DataFrame:
         """The log of keys as a table."""
         return project.key_log(self._indexed().df, key, "index", worker, rank)
@@ -230,7 +246,7 @@ class Dataset:
             yield row.asDict(recursive=True)
 
 
-def mapped(df: DataFrame, keys: Sequence[str], f: Callable[[dict[str, Any]], dict[str, Any] | None], schema: str, image: str | None, only: Sequence[str] | None, handlers: dict[str, Callable[[bytes], Any]] | None, secure: bool, on_error: str) -> DataFrame:
+def mapped(df: DataFrame, keys: Sequence[str], f: Callable[[dict[str, Any]], dict[str, Any] | None], schema: str, image: str | None, only: Sequence[str] | None, handlers: dict[str, Callable[[bytes], Any]] | None, secure: bool, on_error: str, chain: Callable[[str, bytes], Any] | None = None) -> DataFrame:
     """Rows with a map of fields through a Python function, batch by batch; see ``Dataset.map_samples``."""
     import warnings
 
@@ -253,7 +269,7 @@ def mapped(df: DataFrame, keys: Sequence[str], f: Callable[[dict[str, Any]], dic
         for ext, data in row.get("fields") or []:
             if only is None or ext in only:
                 try:
-                    out[ext] = decode_value(ext, data, image, secure, handlers)
+                    out[ext] = decode_value(ext, data, image, secure, handlers) if chain is None else chain(ext, data)
                 except Exception as error:
                     raise DecodeError(row.get("__url__"), row.get("__key__"), ext, error) from error
         return out

@@ -12,7 +12,8 @@ import json
 import pickle
 import struct
 from collections.abc import Callable, Iterator
-from typing import Any
+from dataclasses import dataclass
+from typing import Any, NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -199,6 +200,57 @@ def decode_value(ext: str, data: bytes, image: str | None = None, secure: bool =
     return DECODERS[last](data) if last in DECODERS else data
 
 
+class Again(NamedTuple):
+    """What a handler gives back to have its result decoded further under another extension."""
+
+    ext: str
+    data: bytes
+
+
+Handler = Callable[[str, bytes], Any]
+
+
+def unpack(ext: str, data: bytes) -> Any:
+    """Handler for packed fields: ``x.gz`` goes on as ``x``."""
+    return Again(ext[:-3], gzip.decompress(data)) if ext.endswith(".gz") else None
+
+
+def by_suffix(suffixes: str, f: Callable[[bytes], Any]) -> Handler:
+    """Handler for the dotted suffixes between blanks, in any case."""
+    wanted = tuple(x.lower() for x in suffixes.split())
+
+    def handle(ext: str, data: bytes) -> Any:
+        low = ext.lower()
+        return f(data) if any(low == x or low.endswith(f".{x}") for x in wanted) else None
+
+    return handle
+
+
+@dataclass(frozen=True)
+class Chain:
+    """Handlers in the order pre, own, post; the first result that isn't None counts, and after ``Again`` the next handler gets the field under its new extension.
+
+    Fields that no handler takes stay bytes.  By default packed fields are
+    unpacked first and the formats of ``decode_value`` come last.
+    """
+
+    own: tuple[Handler, ...] = ()
+    pre: tuple[Handler, ...] = (unpack,)
+    post: tuple[Handler, ...] | None = None
+    image: str | None = None
+    secure: bool = True
+
+    def __call__(self, ext: str, data: bytes) -> Any:
+        last: tuple[Handler, ...] = self.post if self.post is not None else (lambda e, d: decode_value(e, d, self.image, self.secure),)
+        for handler in (*self.pre, *self.own, *last):
+            found = handler(ext, data)
+            if isinstance(found, Again):
+                ext, data = found
+            elif found is not None:
+                return found
+        return data
+
+
 def encode_value(ext: str, value: Any, secure: bool = True) -> bytes:
     """One field as bytes; bytes pass through, and text is encoded whatever the extension."""
     if isinstance(value, (bytes, bytearray, memoryview)):

@@ -14,17 +14,31 @@ def hash_of(seed: object, *keys: Column | str) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
+#: Shards whose sizes are summed up in one task.
+BLOCK = 4096
+
+
 def with_index(df: DataFrame, shard: Column | str, order: Sequence[Column | str], name: str = "index") -> DataFrame:
     """``df`` with a global index from 0 in the order (shard, order), without sorting everything in one task.
 
     Rows are numbered inside each shard; the shards' sizes, one row each, are
-    summed up and joined back.  ``shard`` must not fall as ``order`` rises.
+    summed up and joined back.  Sizes of whole-number shards are summed up in
+    blocks of BLOCK shards and then over the blocks, so that no task sees all of
+    them.  ``shard`` must not fall as ``order`` rises.
     """
     s = F.col(shard) if isinstance(shard, str) else shard
     held = df.withColumn("__shard", s)
     sizes = held.groupBy("__shard").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.orderBy("__shard").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("__shard", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    if sizes.schema["__shard"].dataType.typeName() in ("byte", "short", "integer", "long"):
+        sizes = sizes.withColumn("__block", F.floor(F.col("__shard") / BLOCK))
+        sums = sizes.groupBy("__block").agg(F.sum("__n").alias("__s"))
+        starts = sums.select(F.col("__block").alias("__b"), F.coalesce(F.sum("__s").over(Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
+        before = Window.partitionBy("__block").orderBy("__shard").rowsBetween(Window.unboundedPreceding, -1)
+        placed = sizes.withColumn("__inner", F.coalesce(F.sum("__n").over(before), F.lit(0))).join(starts, F.col("__block").eqNullSafe(F.col("__b")))
+        offsets = placed.select("__shard", (F.col("__start") + F.col("__inner")).alias("__before"))
+    else:
+        before = Window.orderBy("__shard").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = sizes.select("__shard", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
     inside = F.row_number().over(Window.partitionBy("__shard").orderBy(*order)) - 1
     # A null shard comes first, as nulls do in Spark's order.
     keyed = held.withColumn("__row", inside).alias("l").join(offsets.alias("r"), F.col("l.__shard").eqNullSafe(F.col("r.__shard")))
@@ -56,7 +70,11 @@ def shuffled(df: DataFrame, key: str, seed: int = 0, epoch: int = 0, name: str =
 
 
 def buffer_shuffled(df: DataFrame, size: int = 1000, initial: int = 100, seed: int = 0) -> DataFrame:
-    """Rows shuffled through a bounded buffer inside each partition; no exchange, for rows that only need stirring."""
+    """Rows shuffled through a buffer of ``size`` rows inside each partition; no exchange, for rows that only need stirring.
+
+    Rows leave at random as soon as ``initial`` are held; the buffer goes on
+    filling by one row for each that leaves until it holds ``size``.
+    """
     import random
 
     import pyarrow as pa
@@ -64,28 +82,31 @@ def buffer_shuffled(df: DataFrame, size: int = 1000, initial: int = 100, seed: i
 
     if size < 1:
         return df
+    first = min(initial, size)
 
     def run(batches):  # noqa: ANN001, ANN202
         rng = random.Random(f"{seed}:{TaskContext.get().partitionId()}")
-        held: list[pa.RecordBatch] = []
-
-        def out(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-            return pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
-
-        ready: list[pa.RecordBatch] = []
+        held: pa.Table | None = None  # rows in the buffer, by number, and those of the batch
+        buffer: list[int] = []
+        grows = False
         for batch in batches:
-            for k in range(batch.num_rows):
-                held.append(batch.slice(k, 1))
-                if len(held) >= max(1, min(initial, size)) and (len(held) > size or len(held) > initial):
-                    i = rng.randrange(len(held))
-                    held[i], held[-1] = held[-1], held[i]
-                    ready.append(held.pop())
-                if len(ready) >= 1000:
-                    yield out(ready)
-                    ready = []
-        rng.shuffle(held)
-        if ready or held:
-            yield out(ready + held)
+            now = pa.Table.from_batches([batch])
+            rows = now if held is None else pa.concat_tables([held.take(pa.array(buffer, pa.int64())), now])
+            buffer, out = list(range(len(buffer))), []
+            for k in range(len(buffer), rows.num_rows):
+                buffer.append(k)
+                # Two rows come in for one that leaves, as long as the buffer is not full.
+                grows = not grows and len(buffer) < size
+                if len(buffer) >= max(first, 1) and not grows:
+                    i = rng.randrange(len(buffer))
+                    buffer[i], buffer[-1] = buffer[-1], buffer[i]
+                    out.append(buffer.pop())
+            held = rows
+            if out:
+                yield from rows.take(pa.array(out, pa.int64())).combine_chunks().to_batches()
+        rng.shuffle(buffer)
+        if held is not None and buffer:
+            yield from held.take(pa.array(buffer, pa.int64())).combine_chunks().to_batches()
 
     return df.mapInArrow(run, df.schema)
 

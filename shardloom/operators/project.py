@@ -200,3 +200,11 @@ def composed(df: DataFrame, *stages: Callable[[DataFrame], DataFrame] | None) ->
     for stage in stages:
         df = df if stage is None else df.transform(stage)
     return df
+
+
+def valid(df: DataFrame, fields: str = "fields", bad: str = "__bad__") -> DataFrame:
+    """Samples that hold a field and aren't marked as bad; a column or map that isn't there rejects nothing."""
+    out = df
+    if bad in df.columns:
+        out = out.where(~F.coalesce(F.col(bad).cast("boolean"), F.lit(False)))
+    return out.where(F.coalesce(F.size(fields), F.lit(0)) > 0) if fields in df.columns else out

@@ -10,7 +10,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardloom.functions.naming import expand_source
+from shardloom.functions.naming import expand_braces, expand_source, glob_to_regex
 from shardloom.operators.order import hash_of, shuffled, with_index
 
 
@@ -101,15 +101,28 @@ def multi_source(spark: SparkSession, spec: dict[str, Any], seed: int = 0, epoch
 
 
 def shard_spec(spark: SparkSession, spec: str | dict[str, Any] | Sequence[str], seed: int = 0) -> DataFrame:
-    """Shards of a YAML file, a specification or an address pattern."""
+    """Shards of a YAML file, a specification, a directory (its address ends with a slash) or an address pattern."""
     if isinstance(spec, str) and re.search(r"\.ya?ml$", spec):
         import yaml
 
         with open(spec, encoding="utf-8") as f:
             return multi_source(spark, yaml.safe_load(f), seed)
+    if isinstance(spec, str) and spec.endswith(".json"):
+        raise NotImplementedError("shard lists in JSON")
+    if isinstance(spec, str) and spec.endswith("/"):
+        return shard_list(spark, directory_shards(spark, spec))
     return multi_source(spark, spec, seed) if isinstance(spec, dict) else shard_list(spark, spec)
 
 
+def directory_shards(spark: SparkSession, path: str, pattern: str = "*.{tar,tgz,tar.gz,tar.bz2,tar.xz}") -> list[str]:
+    """The shards of a directory on any file system that Spark reads, by name; hidden files are left out."""
+    wanted = [re.compile(glob_to_regex(p)) for p in expand_braces(pattern)]
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where)
+    names = sorted(f.getPath().getName() for f in found if f.isFile())
+    return [path + n for n in names if n[0] not in "._" and any(w.search(n) for w in wanted)]
+
+
 def constant(spark: SparkSession, sample: dict[str, Any], n: int) -> DataFrame:
     """n equal samples with their number."""
     return spark.range(n).select(F.col("id").alias("index"), *[F.lit(v).alias(k) for k, v in sample.items()])

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardloom.functions import naming
+from shardloom.functions import decode, naming
 from shardloom.operators import batching, epochs, joins, order, project, shards
+from shardloom.sources import rolling
+from shardloom.sources.storage import local_path, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -65,6 +68,29 @@ ORACLES["flagship"] = FLAGSHIP_SQL
 # --- shard lists, splitting, resampling (A) ---
 
 
+@query("SELECT row_number() OVER (ORDER BY n_nationkey) - 1 shard_id, printf('nation-%06d.tar', n_nationkey) AS name FROM nation")
+def directory_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A directory's address as a shard list (A16); other and hidden files don't count."""
+    folder = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}/"
+    keys = [r.n_nationkey for r in table(spark, sf_dir, "nation").select("n_nationkey").collect()]
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    for name in [*[f"nation-{k:06d}.tar" for k in keys], "notes.txt", "_part.tar"]:
+        files.create(spark._jvm.org.apache.hadoop.fs.Path(folder, name)).close()
+    listed = shards.shard_spec(spark, folder)
+    files.delete(where, True)
+    return listed.select("shard_id", F.regexp_extract("url", "([^/]+)$", 1).alias("name"))
+
+
+@query(f"""WITH a AS (SELECT 0 s, 'a' "name", i draw, printf('a-%02d.tar', i) url FROM range(20) t(i) ORDER BY {_hash(3, 'i')}, i LIMIT 5),
+u AS (SELECT * FROM a UNION ALL SELECT 1, 'b', i, printf('b-%02d.tar', i) FROM range(10) t(i)), k AS (SELECT *, s || ':' || draw || ':' || url k FROM u)
+SELECT row_number() OVER (ORDER BY {_hash(3, 'k')}, k) - 1 AS rank, "name", url FROM k""")
+def multi_source_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One epoch over two shard sets, of one of which five shards are drawn."""
+    spec = {"datasets": [{"name": "a", "shards": "a-{00..19}.tar", "choose": 5}, {"name": "b", "shards": "b-{00..09}.tar"}]}
+    return shards.multi_source(spark, spec, seed=3)
+
+
 @query("SELECT page_id, url, regexp_extract(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[a-zA-Z0-9+.-]+://', ''), '([^/]+)/*$', 1) cached FROM pages")
 def url_cache_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cache names of page addresses."""
@@ -149,10 +175,25 @@ def group_runs_interrupted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.groupBy("shard_id", "run", "o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first_key"))
 
 
-@query("SELECT l_orderkey, l_linenumber, count(*)::BIGINT n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+@query("SELECT (l_orderkey % 8) shard_id, l_orderkey::VARCHAR \"key\", count(*)::BIGINT n_fields, sum(p)::BIGINT parts FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) p FROM lineitem GROUP BY ALL) GROUP BY ALL")
 def dup_suffix_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suffixes that come twice in a sample."""
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    """Of suffixes that come twice in a sample the first is kept."""
+    from pyspark.sql import Window
+
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
+    files = lines.select((F.col("l_orderkey") % 8).alias("shard_id"), (F.col("l_orderkey") * 100_000 + place).alias("pos"), F.col("l_orderkey").cast("string").alias("key"), F.col("l_linenumber").cast("string").alias("ext"), F.col("l_partkey").cast("string").cast("binary").alias("data"))
+    s = batching.group_files(files, on_duplicate="first")
+    parts = F.aggregate(F.map_values("fields"), F.lit(0).cast("long"), lambda acc, v: acc + decode.as_int(v))
+    return s.select("shard_id", F.col("__key__").alias("key"), F.size("fields").cast("long").alias("n_fields"), parts.alias("parts"))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id % 5 <> 0 AND doc_id % 7 <> 0")
+def valid_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples without a field or marked as bad are left out."""
+    bad = F.when(F.col("doc_id") % 7 == 0, F.lit(True)).when(F.col("doc_id") % 11 == 0, F.lit(False))
+    d = table(spark, sf_dir, "documents").select("doc_id", bad.alias("__bad__"), F.when(F.col("doc_id") % 5 == 0, F.expr("map()").cast("map<string,binary>")).otherwise(F.create_map(F.lit("txt"), F.col("text").cast("binary"))).alias("fields"))
+    return project.valid(d).select("doc_id")
 
 
 @query("SELECT (conv_id % 8) shard_id, conv_id::VARCHAR \"key\", count(*)::BIGINT n_fields, string_agg(turn || '.' || role, ' ' ORDER BY turn) names FROM conversations GROUP BY ALL")
@@ -202,14 +243,30 @@ def xdecode_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, json_object('doc_id', doc_id, 'lang', lang, 'n', n_chars)::VARCHAR json FROM documents")
 def encode_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples encoded as JSON."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.to_json(F.struct("doc_id", "lang", F.col("n_chars").alias("n"))).alias("json"))
+    whole = F.struct("doc_id", "lang", F.col("n_chars").alias("n"))
+    return table(spark, sf_dir, "documents").select("doc_id", decode.as_text(decode.encode_column(whole, "struct", "meta.json")).alias("json"))
 
 
-@query("SELECT (i // 128) shard, count(*)::BIGINT n, min(doc_id) first_id, max(doc_id) last_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 i FROM documents) GROUP BY ALL")
+@query("SELECT doc_id, upper(lang) lang, n_chars::BIGINT n, lang || ':' || doc_id note FROM documents")
+def decode_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields decoded by a chain: packed ones first, then handlers of one's own, then by extension."""
+    from shardloom.dataset import Dataset
+    from shardloom.functions import codecs
+
+    d = table(spark, sf_dir, "documents")
+    text = lambda c: F.encode(c.cast("string"), "utf-8")
+    note = F.concat_ws(":", "lang", F.col("doc_id").cast("string"))
+    fields = F.create_map(F.lit("lang.up"), text(F.col("lang")), F.lit("cls"), text(F.col("n_chars")), F.lit("note.txt.gz"), codecs.gzipped(text(note)))
+    samples = Dataset.of(d.select(F.lit(0).alias("shard_id"), F.col("doc_id").alias("sample_no"), fields.alias("fields")), "shard_id", "sample_no")
+    out = samples.decode("`lang.up` string, cls long, `note.txt.gz` string", codecs.by_suffix("up", lambda b: b.decode().upper()))
+    return out.df.select(F.col("sample_no").alias("doc_id"), F.col("`lang.up`").alias("lang"), F.col("cls").alias("n"), F.col("`note.txt.gz`").alias("note"))
+
+
+@query("SELECT t task, (i // 40) shard, count(*)::BIGINT n, min(doc_id) first_id, max(doc_id) last_id FROM (SELECT doc_id, doc_id % 8 t, row_number() OVER (PARTITION BY doc_id % 8 ORDER BY doc_id) - 1 i FROM documents) GROUP BY ALL")
 def shard_roll_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shards rolled by count."""
-    d = indexed(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
-    return d.groupBy(F.floor(F.col("index") / 128).alias("shard")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
+    """Shards rolled by count in each task."""
+    d = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 8).alias("task"), F.lit(1).alias("size"))
+    return rolling.rolled(d, "task", "doc_id", "size", 40, 1e9).groupBy("task", "shard").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
 
 
 @query("""WITH RECURSIVE d AS (SELECT doc_id, doc_id % 8 task, strlen(text) size, row_number() OVER (PARTITION BY doc_id % 8 ORDER BY doc_id) r FROM documents),
@@ -375,14 +432,16 @@ def batched_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _batches(spark, sf_dir, False)
 
 
-@query("SELECT w worker, i // 64 batch, count(*)::BIGINT n, sum(n_chars)::BIGINT chars FROM (SELECT doc_id % 4 w, n_chars, row_number() OVER (PARTITION BY doc_id % 4 ORDER BY doc_id) - 1 i FROM documents) GROUP BY ALL")
+@query("SELECT w worker, min(doc_id) first_id, count(*)::BIGINT n, sum(n_chars)::BIGINT chars FROM (SELECT doc_id, doc_id % 4 w, n_chars, row_number() OVER (PARTITION BY doc_id % 4 ORDER BY doc_id) - 1 i FROM documents) GROUP BY w, i // 64")
 def batched_by_worker(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Batches that each worker makes of its share (G1, K4)."""
-    from pyspark.sql import Window
+    """Batches that each worker makes of its share, a partition each (G1, K4)."""
+    d = table(spark, sf_dir, "documents").select((F.col("doc_id") % 4).alias("worker"), "doc_id", F.col("n_chars").cast("long").alias("n_chars"))
+    held = d.repartitionById(4, F.col("worker").cast("int")).sortWithinPartitions("doc_id")
+
+    def collate(columns: dict[str, list]) -> dict[str, int]:
+        return {"worker": columns["worker"][0], "first_id": columns["doc_id"][0], "n": len(columns["doc_id"]), "chars": sum(columns["n_chars"])}
 
-    d = table(spark, sf_dir, "documents").select((F.col("doc_id") % 4).alias("worker"), "doc_id", "n_chars")
-    held = d.withColumn("i", F.row_number().over(Window.partitionBy("worker").orderBy("doc_id")) - 1)
-    return held.groupBy("worker", F.floor(F.col("i") / 64).alias("batch")).agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
+    return batching.batched_in_partitions(held, 64, collate, "worker long, first_id long, n long, chars long")
 
 
 @query("SELECT i // 20 batch, string_agg(o_orderkey::VARCHAR, ',' ORDER BY i) keys, string_agg(o_orderstatus, '' ORDER BY i) states FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 i FROM orders) GROUP BY ALL")
@@ -530,7 +589,6 @@ def tar_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     import uuid
 
     from shardloom.functions.decode import as_json, as_text
-    from shardloom.sources.storage import local_path, shared_dir
     from shardloom.sources.tarscan import read_shards
     from shardloom.sources.tarwrite import write_shards
 
@@ -582,7 +640,6 @@ def directory_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shards that come into a directory, read by a stream until it is empty."""
     import uuid
 
-    from shardloom.sources.storage import local_path, shared_dir
     from shardloom.sources.tarwrite import write_shards
     from shardloom.streaming.directory import drain, shard_stream
 

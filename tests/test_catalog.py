@@ -22,7 +22,7 @@ import sys
 class Gone:
     def find_spec(self, name, path=None, target=None):
         if name.startswith(("shardloom.llm", "corpus_pipeline")):
-            raise ModuleNotFoundError(name)
+            raise ModuleNotFoundError(name, name=name)
 sys.meta_path.insert(0, Gone())
 import __spark_entry__ as e
 assert len(e.queries()) > 50 and not [q for q in e.queries() if q.startswith("op") or q == "pipeline"]

@@ -146,6 +146,51 @@ def test_shuffles(spark):
     assert order.buffer_shuffled(df, 0) is df
 
 
+def test_the_buffer_fills(spark):
+    df = spark.range(5000).coalesce(1)
+    out = rows(order.buffer_shuffled(df, 1000, 100), "id")
+    assert sorted(out) == list(range(5000)) and out == rows(order.buffer_shuffled(df, 1000, 100), "id")
+    late = max(k - x for k, x in enumerate(out))  # how long a row was held
+    assert late > 1000 and max(x - k for k, x in enumerate(out)) <= 1000
+    assert all(x <= 2 * k + 200 for k, x in enumerate(out))  # two come in for one that leaves
+    assert rows(order.buffer_shuffled(df, 1), "id") == list(range(5000))
+
+
+def test_index_over_many_shards(spark):
+    df = spark.range(20_000).selectExpr("id", "id div 2 shard", "cast(id div 2 as string) name")
+    assert all(r.id == r.i for r in order.with_index(df, "shard", ["id"], "i").collect())
+    by_name = {r.id: r.i for r in order.with_index(df.where("id < 40"), "name", ["id"], "i").collect()}
+    assert [k for k, _ in sorted(by_name.items(), key=lambda x: x[1])] == sorted(range(40), key=lambda k: (str(k // 2), k))
+
+
+def test_valid_samples(spark):
+    df = spark.createDataFrame([(1, {"a": b"x"}, None), (2, {}, None), (3, None, None), (4, {"a": b"x"}, True), (5, {"a": b""}, False)], "k int, fields map<string,binary>, __bad__ boolean")
+    assert sorted(rows(project.valid(df), "k")) == [1, 5] and sorted(rows(project.valid(df.drop("__bad__")), "k")) == [1, 4, 5]
+    assert project.valid(df.select("k")).count() == 5
+
+
+def test_chains():
+    import gzip
+
+    from shardloom.functions import codecs
+
+    own = codecs.by_suffix("up x.low", lambda b: b.decode().upper())
+    chain = codecs.Chain((own,))
+    assert chain("a.up", b"x") == "X" and chain("A.X.LOW", b"x") == "X" and chain("low", b"x") == b"x" and chain("cls", b"7") == 7
+    assert chain("up.gz", gzip.compress(b"y")) == "Y" and chain("txt.gz", gzip.compress(b"y")) == "y"
+    assert codecs.Chain((), pre=(), post=())("cls", b"7") == b"7"
+    assert codecs.Chain((own,), pre=(lambda e, d: "first",))("up", b"x") == "first"
+
+
+def test_directories_as_shard_lists(spark, tmp_path):
+    for name in ("b.tar", "a.tgz", "c.tar.gz", "d.txt", "_e.tar", ".f.tar"):
+        (tmp_path / name).write_bytes(b"")
+    found = shards.shard_spec(spark, f"{tmp_path}/").orderBy("shard_id")
+    assert [u.rsplit("/", 1)[1] for u in rows(found, "url")] == ["a.tgz", "b.tar", "c.tar.gz"]
+    with pytest.raises(NotImplementedError):
+        shards.shard_spec(spark, "list.json")
+
+
 def test_shards(spark):
     s = shards.shard_list(spark, "s{0..9}.tar")
     once, again = (rows(shards.shard_list(spark, "s{0..9}.tar", 3).orderBy("shard_id"), "url") for _ in range(2))
