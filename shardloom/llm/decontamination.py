@@ -42,7 +42,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardloom.llm.common import hot_keys, salted_join, table, text_of, without, written
+from shardloom.llm.common import hot_keys, maybe_among, salted_join, table, text_of, without, written
 
 TOKEN = r"\d+(?:[.,:]\d+)*|[\p{L}\p{M}]+"
 NAME = r"^\p{Lu}\p{Ll}+$"
@@ -139,7 +139,8 @@ def items_in_texts(docs: DataFrame, benchmark: DataFrame, text: str = "text", it
     covered = lines.select(*line, F.explode(F.sequence(F.col("q"), F.col("q") + F.col("w") - 1)).alias("pos")).distinct()
     asked = written(covered.join(slots, ["i", "k", "pos"]).select(*line, "a", (F.col("pos") + F.col("diagonal")).alias("at")))
     places = asked.select("t", "u", "at").distinct()
-    texts = d.join(asked.select("t", "u").distinct(), ["t", "u"], "left_semi").groupBy("t", "u").agg(F.first("text").alias("text"))
+    some = maybe_among(d, ["t", "u"], asked).where("maybe").drop("maybe")
+    texts = some.join(asked.select("t", "u").distinct(), ["t", "u"], "left_semi").groupBy("t", "u").agg(F.first("text").alias("text"))
     said = texts.select("t", "u", F.posexplode(tokens(F.col("text"))).alias("at", "raw")).join(places, ["t", "u", "at"], "left_semi")
     pair = asked.join(said, ["t", "u", "at"]).withColumn("b", _by_form([FORMS[k][1](F.col("raw")) for k in forms]))
     judged = pair.groupBy(*line).agg(F.size(F.collect_set("a")).alias("values"), F.size(F.collect_set(F.struct("a", "b"))).alias("pairs"), F.min(F.col("a") == F.col("b")).alias("same"))

@@ -127,7 +127,8 @@ def _grouped(docs: DataFrame, id: str, text: str, size: int, inter: int, union:
     groups = written(placed.groupBy("bucket").agg(F.min("r").alias("leader"), F.count(F.lit(1)).alias("m")).where("m > 1"))
     crowded = written(groups.where(F.col("m") >= max(HOT_ROWS, n_placed / HOT_SHARE)).select("bucket"))
     crowded = None if crowded.isEmpty() else crowded
-    members = cut(salted_join(placed, groups.select("bucket", "leader"), ["bucket"], ["r"], hot=crowded))
+    shared = maybe_among(placed, ["bucket"], groups).where("maybe").drop("maybe")
+    members = cut(salted_join(shared, groups.select("bucket", "leader"), ["bucket"], ["r"], hot=crowded))
     marks = cut(classes.join(members.select("r").distinct(), "r", "left_semi").select("r", "n", F.col("row.id").alias("id"), F.col("row.k").alias("k"), *sketch))
 
     def fits(x: str, y: str) -> Column:
@@ -145,11 +146,9 @@ def _grouped(docs: DataFrame, id: str, text: str, size: int, inter: int, union:
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b), cut, those that are linked by their full sets; many may share an ``a``."""
-        right = sets.select(F.col("r").alias("b"), F.col("set").alias("sb"))
-        left = sets.select(F.col("r").alias("a"), F.col("set").alias("sa"))
+        right = maybe_among(sets.select(F.col("r").alias("b"), F.col("set").alias("sb")), ["b"], pairs).where("maybe").drop("maybe")
+        left = maybe_among(sets.select(F.col("r").alias("a"), F.col("set").alias("sa")), ["a"], pairs).where("maybe").drop("maybe")
         hubs = hot_keys(pairs, ["a"], pairs.count())
-        if hubs is not None:
-            left = left.join(pairs.select("a").distinct(), "a", "left_semi")
         both = salted_join(pairs.join(right, "b"), left, ["a"], ["b"], hot=hubs).withColumn("i", F.size(F.array_intersect("sa", "sb")).cast("long"))
         return both.where(F.col("i") * inter >= (F.size("sa") + F.size("sb") - F.col("i")) * union).select("a", "b")
 
