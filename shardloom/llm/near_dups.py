@@ -3,8 +3,8 @@
 1. A text's words become its set of distinct word shingles (64-bit hashes).
    Rows with one and the same set (size and two hashes of the sorted set) form
    a class, so copies are never compared with each other.
-2. ``bands * rows`` MinHash samples are taken in one aggregation over the
-   exploded sets.  They are hashed by bands, and folded into an odd sketch: a
+2. ``bands * rows`` MinHash samples (the upper 32 bits of 64-bit hashes) are
+   taken in one aggregation over the exploded sets.  They are hashed by bands, and folded into an odd sketch: a
    bitmap in which each sample flips one bit, so that the bits set in the XOR
    of two sketches tell how many samples differ.
 3. Classes that share a band are candidates.  First each class meets one leader
@@ -78,7 +78,7 @@ def signatures(docs: DataFrame, id: str, text: str, size: int, bands: int, rows:
     sets = shingles(docs.select(F.col(id).alias("id"), F.col(text).alias("text"), row_key(id, text).alias("k")), "text", size).select("id", "k", "set")
     keyed = sets.select("id", "k", F.size("set").cast("long").alias("n"), F.xxhash64("set").alias("f1"), F.xxhash64(F.lit(7), "set").alias("f2"), "set")
     flat = keyed.select("id", "k", "n", "f1", "f2", F.explode_outer("set").alias("h"))
-    least = flat.groupBy("id", "k", "n", "f1", "f2").agg(*[F.min(F.xxhash64("h", F.lit(j))).alias(f"m{j}") for j in range(bands * rows)])
+    least = flat.groupBy("id", "k", "n", "f1", "f2").agg(*[F.min(F.call_function("shiftright", F.xxhash64("h", F.lit(j)), F.lit(32)).cast("int")).alias(f"m{j}") for j in range(bands * rows)])
     signed = least.select("id", "k", "n", "f1", "f2", F.array(*[f"m{j}" for j in range(bands * rows)]).alias("s"))
     band = lambda b: F.xxhash64(b, *[F.get("s", b * rows + k) for k in range(rows)])
     places = F.transform("s", lambda m, k: F.pmod(F.xxhash64(m, k), F.lit(bits)).cast("int"))
