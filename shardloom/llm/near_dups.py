@@ -7,13 +7,17 @@
    taken in one aggregation over the exploded sets.  They are hashed by bands, and folded into an odd sketch: a
    bitmap in which each sample flips one bit, so that the bits set in the XOR
    of two sketches tell how many samples differ.
-3. Classes that share a band are candidates.  First each class meets one leader
-   (of the first classes in its buckets, the one with the nearest sketch); the
-   links confirmed so merge most of a bucket.  Then the classes outside a
-   bucket's largest component are compared with all of its other components,
-   the sketch deciding inside the join: pairs within that component are never
-   evaluated.  Buckets are salted by size.
-4. Every link is confirmed on the full sets in whole numbers.
+3. Classes that share a band are candidates.  Their full sets give parities, a
+   bitmap in which each hash flips a bit: two of them differ in no more bits
+   than their sets differ in hashes, so no link is lost by comparing parities.
+4. First each class meets one leader (of the classes that lead its buckets, the
+   one with the nearest sketch and parities; a bucket's leader is the class with
+   the most company in all of its buckets, so that the variants of a text meet
+   one in their midst); the links confirmed so merge most of a bucket.  Then the
+   classes outside a bucket's largest component are compared with all of its
+   other components, sketch and parities deciding inside the join: pairs within
+   that component are never evaluated.  Buckets are salted by size.
+5. Every link is confirmed on the full sets in whole numbers.
 
 The sketch bound is chosen so that a pair at the threshold passes but for about
 one in a million; a pair at the threshold shares no band once in two million.
@@ -39,6 +43,8 @@ from shardloom.llm.common import HOT_ROWS, HOT_SHARE, cut, hot_keys, maybe_among
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BANDS, ROWS, BITS = 20, 4, 256
+#: Bits of the parities of a full set.
+PARITY_BITS = 512
 #: Members of a bucket that one salted part compares with.
 SALT_SIZE = 4096
 
@@ -88,6 +94,15 @@ def signatures(docs: DataFrame, id: str, text: str, size: int, bands: int, rows:
     return wide.select("id", "k", "n", "f1", "f2", F.when(some, F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), band)).alias("bands"), *[F.when(some, word(w)).alias(f"s{w}") for w in range(bits // 64)])
 
 
+def parities(sets: DataFrame) -> DataFrame:
+    """``r, p0, p1 ..``: a bitmap of PARITY_BITS in which each hash of ``set`` flips a bit; those of two sets differ in at most as many bits as the sets in hashes."""
+    flat = sets.select("r", F.explode("set").alias("h"))
+    flag = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("h", F.lit(64)).cast("int"))
+    word = F.pmod(F.call_function("shiftright", "h", F.lit(6)), F.lit(PARITY_BITS // 64)).cast("int")
+    flips = flat.select("r", flag.alias("flag"), word.alias("word"))
+    return flips.groupBy("r").agg(*[F.bit_xor(F.when(F.col("word") == w, F.col("flag")).otherwise(0)).alias(f"p{w}") for w in range(PARITY_BITS // 64)])
+
+
 def components(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     """``v, c``: of each vertex (``v``) the smallest vertex it is connected with over ``edges`` (``a, b``).
 
@@ -115,7 +130,7 @@ def components(edges: DataFrame, vertices: DataFrame) -> DataFrame:
 def _grouped(docs: DataFrame, id: str, text: str, size: int, inter: int, union: int, bands: int, rows: int, bits: int) -> DataFrame:
     """``id, k, n, rep, n_links`` of every distinct (id, text): ``rep`` is the first (none, id, k) of its component."""
     bound = _bound(bands * rows, union / inter, bits)
-    sketch = [f"s{w}" for w in range(bits // 64)]
+    sketch, parity = [f"s{w}" for w in range(bits // 64)], [f"p{w}" for w in range(PARITY_BITS // 64)]
     signed = written(signatures(docs, id, text, size, bands, rows, bits))
     known = signed.where("n > 0")
     first = known.groupBy("n", "f1", "f2").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k", *sketch, "bands")).alias("x"))
@@ -124,25 +139,38 @@ def _grouped(docs: DataFrame, id: str, text: str, size: int, inter: int, union:
     placed = classes.select("r", F.explode("bands").alias("bucket"))
     n_classes = classes.count()
     n_placed = bands * n_classes
-    groups = written(placed.groupBy("bucket").agg(F.min("r").alias("leader"), F.count(F.lit(1)).alias("m")).where("m > 1"))
+    groups = written(placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
     crowded = written(groups.where(F.col("m") >= max(HOT_ROWS, n_placed / HOT_SHARE)).select("bucket"))
     crowded = None if crowded.isEmpty() else crowded
     shared = maybe_among(placed, ["bucket"], groups).where("maybe").drop("maybe")
-    members = cut(salted_join(shared, groups.select("bucket", "leader"), ["bucket"], ["r"], hot=crowded))
-    marks = cut(classes.join(members.select("r").distinct(), "r", "left_semi").select("r", "n", F.col("row.id").alias("id"), F.col("row.k").alias("k"), *sketch))
+    members = cut(salted_join(shared, groups, ["bucket"], ["r"], hot=crowded))
+    # The class with the most company leads its buckets: what varies one text is mostly linked with it.
+    company = members.groupBy("r").agg(F.sum("m").alias("met"))
+    heads = members.join(company, "r").groupBy("bucket").agg(F.min(F.struct(-F.col("met"), "r")).alias("x")).select("bucket", F.col("x.r").alias("leader"))
+    holding = cut(company.join(classes, "r").select("r", "n", F.col("row.id").alias("id"), F.col("row.k").alias("k"), *sketch))
 
-    def fits(x: str, y: str) -> Column:
-        small, large = F.least(f"{x}.n", f"{y}.n"), F.greatest(f"{x}.n", f"{y}.n")
-        return (small * inter >= large * union) & (near(x, y) <= bound)
+    samples, full = range(1, len(sketch) + 1), range(len(sketch) + 1, len(sketch) + len(parity) + 1)
+
+    def apart(x: str, y: str, of: range) -> Column:
+        return sum((F.bit_count(F.get(x, F.lit(k)).bitwiseXOR(F.get(y, F.lit(k)))) for k in of), F.lit(0))
 
     def near(x: str, y: str) -> Column:
-        return sum((F.bit_count(F.col(f"{x}.{k}").bitwiseXOR(F.col(f"{y}.{k}"))) for k in sketch), F.lit(0))
+        return apart(x, y, samples) + apart(x, y, full)
+
+    def fits(x: str, y: str) -> Column:
+        n, m = F.get(x, F.lit(0)), F.get(y, F.lit(0))
+        alike = apart(x, y, full) * (inter + union) <= (n + m) * (inter - union)
+        return (F.least(n, m) * inter >= F.greatest(n, m) * union) & (apart(x, y, samples) <= bound) & alike
 
     # The sets of those classes only, from the text of one row of each.
     texts = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), row_key(id, text).alias("k"))
-    some = maybe_among(texts, ["k"], marks).where("maybe")
-    holders = some.join(marks.select("k", "r", F.col("id").alias("of")), "k").where(F.col("id").eqNullSafe(F.col("of")))
-    sets = written(shingles(holders.select("k", "r", "text"), "text", size).select("k", "r", "set").dropDuplicates(["k", "r"]).select("r", "set"))
+    some = maybe_among(texts, ["k"], holding).where("maybe")
+    # Repeated rows are one by the shuffle of the join, which a condition on ids would spread by them as well.
+    own = F.when(F.col("id").eqNullSafe(F.col("of")), F.col("text"))
+    holders = some.join(holding.select("k", "r", F.col("id").alias("of")), "k").groupBy("k", "r").agg(F.first(own, ignorenulls=True).alias("text"))
+    sets = written(shingles(holders, "text", size).select("r", "set"))
+    # One array, as Spark infers constraints for every subset of renamed columns or fields of a condition.
+    marks = written(holding.select("r", "n", *sketch).join(parities(sets), "r").select("r", F.array("n", *sketch, *parity).alias("mark")))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b), cut, those that are linked by their full sets; many may share an ``a``."""
@@ -152,9 +180,9 @@ def _grouped(docs: DataFrame, id: str, text: str, size: int, inter: int, union:
         both = salted_join(pairs.join(right, "b"), left, ["a"], ["b"], hot=hubs).withColumn("i", F.size(F.array_intersect("sa", "sb")).cast("long"))
         return both.where(F.col("i") * inter >= (F.size("sa") + F.size("sb") - F.col("i")) * union).select("a", "b")
 
-    led = cut(members.where("leader <> r").select("r", "leader").distinct())
-    leaders = marks.select(F.col("r").alias("leader"), F.struct("n", *sketch).alias("x"))
-    with_leader = salted_join(led, leaders, ["leader"], ["r"], hot=hot_keys(led, ["leader"], led.count())).join(marks.select("r", F.struct("n", *sketch).alias("y")), "r")
+    led = cut(salted_join(members, heads, ["bucket"], ["r"], hot=crowded).where("leader <> r").select("r", "leader").distinct())
+    leaders = marks.select(F.col("r").alias("leader"), F.col("mark").alias("x"))
+    with_leader = salted_join(led, leaders, ["leader"], ["r"], hot=hot_keys(led, ["leader"], led.count())).join(marks.select("r", F.col("mark").alias("y")), "r")
     best = with_leader.where(fits("x", "y")).groupBy("r").agg(F.min(F.struct(near("x", "y").alias("d"), F.col("leader").alias("l"))).alias("best"))
     links = cut(confirmed(cut(best.select(F.col("best.l").alias("a"), F.col("r").alias("b")))))
     vertices = marks.select(F.col("r").alias("v"))
@@ -164,11 +192,11 @@ def _grouped(docs: DataFrame, id: str, text: str, size: int, inter: int, union:
     parts = labelled.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("n"))
     mixed = parts.groupBy("bucket").agg(F.max(F.struct("n", "c")).alias("top"), F.sum("n").alias("m"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     mixed = written(mixed.select("bucket", F.col("top.c").alias("main"), F.ceil(F.col("m") / SALT_SIZE).cast("int").alias("salts")))
-    sized = salted_join(labelled, mixed, ["bucket"], ["r"], hot=crowded).withColumn("big", F.col("c") == F.col("main")).join(marks.select("r", "n", *sketch), "r")
+    sized = salted_join(labelled, mixed, ["bucket"], ["r"], hot=crowded).withColumn("big", F.col("c") == F.col("main")).join(marks, "r")
     one = sized.withColumn("salt", F.pmod(F.xxhash64("r"), F.col("salts")).cast("int")).alias("x")
     other = sized.where("not big").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("y")
     once = F.col("x.big") | (F.col("x.r") < F.col("y.r"))
-    met = one.join(other, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.salt") == F.col("y.salt")) & once & (F.col("x.c") != F.col("y.c")) & fits("x", "y"))
+    met = one.join(other, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.salt") == F.col("y.salt")) & once & (F.col("x.c") != F.col("y.c")) & fits("x.mark", "y.mark"))
     more = cut(confirmed(cut(met.select(F.least("x.r", "y.r").alias("a"), F.greatest("x.r", "y.r").alias("b")).distinct())))
     if not more.isEmpty():
         merged = components(links.union(more), vertices)

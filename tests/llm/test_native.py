@@ -203,6 +203,43 @@ def test_salted_buckets_change_nothing(spark, copies, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dups.near_duplicates(df).collect()} == groups_of(copies)
 
 
+def test_variants_of_one_text_are_not_compared_with_each_other(spark, monkeypatch):
+    rng, base, compared = random.Random(5), [f"w{k}" for k in range(300)], []
+    texts = {}
+    for i in range(120):  # alike with the base, not with each other
+        text = list(base)
+        for k in rng.sample(range(0, 300, 6), 5):
+            text[k] = f"e{rng.randint(0, 9999)}"
+        texts[i] = " ".join(text)
+    texts[500] = " ".join(base)
+
+    def cut(df):
+        out = kept(df)
+        if out.columns == ["a", "b"]:
+            compared.append(out.count())
+        return out
+
+    kept = near_dups.cut
+    monkeypatch.setattr(near_dups, "cut", cut)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dups.near_duplicates(df).collect()} == groups_of(texts)
+    assert sum(compared) < 5 * len(texts)
+
+
+def test_parities_differ_by_no_more_than_their_sets(spark):
+    rng = random.Random(2)
+    sets = {0: set()} | {r: {rng.randrange(-(2**63), 2**63) for _ in range(rng.randint(1, 900))} for r in range(1, 12)}
+    sets |= {20 + r: set(rng.sample(sorted(s), len(s) * 9 // 10)) for r, s in sets.items()}
+    rows = near_dups.parities(spark.createDataFrame([(r, list(s)) for r, s in sets.items() if s], "r long, set array<long>")).collect()
+    bits = {row.r: sum((v & (2**64 - 1)) << 64 * w for w, v in enumerate(row[1:])) for row in rows}
+    for r, b in bits.items():
+        expected = 0
+        for h in sets[r]:
+            expected ^= 1 << h % near_dups.PARITY_BITS
+        assert b == expected
+    assert all((bits[r] ^ bits[q]).bit_count() <= len(sets[r] ^ sets[q]) for r in bits for q in bits)
+
+
 def test_groups_of_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert near_dups.near_duplicates(empty).count() == 0
