@@ -23,6 +23,14 @@ question.  The benchmark's windows are broadcast only if they are few
 (``broadcast_rows``, of some 60 bytes each); otherwise the join shuffles, its
 hot windows salted.
 
+Most texts share no window with any item, so where the windows are few, texts
+are first cleared by pairs: each counted window marks its longest two plain
+words that stand side by side, case-blind, and a text without that pair does
+not hold the window in either form.  Only texts whose pairs stand for enough
+windows of an item to reach the coverage are cut into windows.  If some window
+has no such two words (it can't be so with the usual ``literals``), all texts
+are.
+
 Whether a text holds an item depends on the text alone, so copies of a text are
 one from the hits on, and each text is judged by itself.  Slots are compared
 token by token in joins on (text, position): no text is copied for its hits,
@@ -92,15 +100,35 @@ def _windows(hashes: str, width: Column, form: int = 0) -> Column:
 
 
 def templates(items: DataFrame, width: int, literals: int, least: int, form: int = 0) -> DataFrame:
-    """``i, q, w, h, total, k`` of every counted window of the items (``i, text``): first position, width, hash, the item's number of them, and the form."""
+    """``i, q, w, h, total, k, g`` of every counted window of the items (``i, text``): first position, width, hash, the item's number of them, the form, and the hash of its marked pair, null if it has none."""
     t = items.select("i", tokens(F.col("text")).alias("raw")).withColumn("form", F.transform("raw", FORMS[form][0]))
     t = t.withColumn("hashes", F.transform("form", lambda f: F.xxhash64(f))).withColumn("w", F.least(F.lit(width), F.size("form"))).where("w > 0")
     slots = F.array(F.lit(NUMBER_SLOT), F.lit(NAME_SLOT), F.lit(UNIT_SLOT))
-    flat = t.select("i", "w", "form", F.posexplode(_windows("hashes", F.col("w"), form)).alias("q", "h"))
+    is_word = lambda j: ~F.array_contains(slots, F.get("form", j))
+    word = lambda j: F.get("raw", j)
+    pair = lambda j: F.when(is_word(j) & is_word(j + 1), F.struct((F.length(word(j)) + F.length(word(j + 1))).alias("n"), F.xxhash64(F.xxhash64(folded(word(j))), F.xxhash64(folded(word(j + 1)))).alias("g")))
+    t = t.withColumn("pairs", F.transform(F.sequence(F.lit(0), F.size("raw") - 1), pair))
+    flat = t.select("i", "w", "form", "pairs", F.posexplode(_windows("hashes", F.col("w"), form)).alias("q", "h"))
+    flat = flat.withColumn("g", F.array_max(F.slice("pairs", F.col("q") + 1, F.col("w") - 1))["g"])
     plain = F.size(F.filter(F.slice("form", F.col("q") + 1, F.col("w")), lambda f: ~F.array_contains(slots, f)))
-    counted = flat.where(plain >= F.greatest(F.least(F.lit(literals), F.col("w")), F.lit(least))).groupBy("i", "w", "h").agg(F.min("q").alias("q"))
+    counted = flat.where(plain >= F.greatest(F.least(F.lit(literals), F.col("w")), F.lit(least))).groupBy("i", "w", "h").agg(F.min("q").alias("q"), F.min("g").alias("g"))
     total = counted.groupBy("i").agg(F.count(F.lit(1)).alias("total"))
-    return counted.join(total, "i").select("i", "q", "w", "h", "total", F.lit(form).alias("k"))
+    return counted.join(total, "i").select("i", "q", "w", "h", "total", F.lit(form).alias("k"), "g")
+
+
+def may_hold(texts: DataFrame, bench: DataFrame, coverage: float) -> DataFrame:
+    """The rows of ``texts`` (``t, u, text``) whose pairs allow for the coverage of an item, and few others; all rows if some window of ``bench`` has no pair."""
+    if not bench.where("g is null").isEmpty():
+        return texts
+    # Joined by blanks, words are lower-cased as they are alone; no word holds a blank.
+    words = F.split(folded(F.array_join(tokens(F.col("text")), " ")), " ")
+    hashed = texts.select("t", "u", F.transform(words, lambda w: F.xxhash64(w)).alias("a"))
+    zipped = F.arrays_zip(F.slice("a", 1, F.size("a") - 1).alias("a"), F.slice("a", 2, F.size("a")).alias("b"))
+    pairs = hashed.select("t", "u", F.explode(zipped).alias("x")).select("t", "u", F.xxhash64("x.a", "x.b").alias("g"))
+    marks = bench.groupBy("g", "i", "k", "total").agg(F.count(F.lit(1)).alias("n"))
+    seen = pairs.join(F.broadcast(marks), "g").select("t", "u", "i", "k", "total", "g", "n").distinct().groupBy("t", "u", "i", "k", "total").agg(F.sum("n").alias("n"))
+    able = written(seen.where(F.col("n") >= coverage * F.col("total")).select("t", "u").distinct())
+    return maybe_among(texts, ["t", "u"], able).where("maybe").drop("maybe")
 
 
 def _text_key(text: str) -> list[Column]:
@@ -122,7 +150,9 @@ def items_in_texts(docs: DataFrame, benchmark: DataFrame, text: str = "text", it
     widths = sorted(r.w for r in bench.select("w").distinct().collect())  # at most ``width`` values
     few = bench.count() <= broadcast_rows
     d = docs.select(*_text_key(text), text_of(text).alias("text"))
-    hashed = d.select("t", "u", tokens(F.col("text")).alias("raw")).select("t", "u", *[F.transform("raw", lambda w: F.xxhash64(FORMS[k][0](w))).alias(f"hashes{k}") for k in forms])  # noqa: B023
+    searched = may_hold(d, bench, coverage) if few else d
+    bench = bench.drop("g")
+    hashed = searched.select("t", "u", tokens(F.col("text")).alias("raw")).select("t", "u", *[F.transform("raw", lambda w: F.xxhash64(FORMS[k][0](w))).alias(f"hashes{k}") for k in forms])  # noqa: B023
     every = [F.transform(_windows(f"hashes{k}", F.lit(w), k), lambda h, p: F.struct(p.alias("p"), h.alias("h"))) for k in forms for w in widths]
     flat = hashed.select("t", "u", F.explode(F.concat(*every) if every else F.array().cast("array<struct<p:int,h:bigint>>")).alias("x")).select("t", "u", "x.p", "x.h")
     met = flat.join(F.broadcast(bench), "h") if few else flat.withColumn("part", F.pmod(F.xxhash64("t", "p"), F.lit(PARTS)).cast("int")).join(bench.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))), ["h", "part"])

@@ -321,3 +321,46 @@ def test_items_in_another_case(spark):
     no_python(got)
     plain = {tuple(r) for r in decontamination.contaminated(docs, bench).collect()}
     assert plain <= {tuple(r) for r in got.collect()} and 1 not in {r[0] for r in plain}
+
+
+def generated(df):
+    """Rows that the generators of a frame's plan made when it was collected."""
+
+    def walk(node):
+        name = node.nodeName()
+        inner = [node.executedPlan()] if name == "AdaptiveSparkPlan" else [node.plan()] if name.endswith("QueryStage") else [node.children().apply(k) for k in range(node.children().size())]
+        return (node.metrics().apply("numOutputRows").value() if name == "Generate" else 0) + sum(map(walk, inner))
+
+    df.collect()
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_only_texts_that_may_hold_an_item_are_cut_into_windows(spark, monkeypatch):
+    item = "the train from Berlin leaves with 12 crates while another train from Berlin carries only 5 km more goods than before"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    clean = [(n, " ".join(f"word{'abcdefghij'[(n + k) % 10]}{'xyz'[k % 3]}" for k in range(100)) + " the train from Berlin only") for n in range(200)]
+    docs = spark.createDataFrame([*clean, (1000, f"before {item.upper()} after"), (1001, item), (1002, item.replace("Berlin", "Rome"))], "doc_id long, text string")
+    frames = []
+    monkeypatch.setattr(decontamination, "written", lambda df, written=decontamination.written: frames.append(df) or written(df))
+    got = decontamination.contaminated(docs, bench, any_case=True)
+    assert {r.doc_id for r in got.collect()} == {1000, 1001, 1002}
+    hits = next(f for f in frames if {"t", "h", "p"} <= {*f.columns})
+    assert 0 < generated(hits) < 200
+
+
+def test_clearing_texts_by_pairs_loses_nothing(spark, sf):
+    sides = [
+        "one two three", "Eins zwei drei Straße", "ΟΔΟΣ ΟΔΟΥΣ ΛΟΓΟΣ ΤΕΛΟΣ", "İstanbul Diyarbakır ılık İĞNE DEĞİL", "a 1 b 2 c 3 d 4 e", "Anna 7 km der weg Otto 8 km die bahn Eva 9 cm das rad",
+        "un deux trois quatre cinq six sept huit neuf", "x" * 300 + " yy zz " + "w" * 300, "same same same same same same same same same same",
+    ]
+    bench = spark.createDataFrame(list(enumerate(sides)), "item_id long, text string")
+    rows = [(f"{n}{case.__name__}", f"vor {case(x)}, nach") for n, x in enumerate(sides) for case in (str, str.upper, str.lower, str.title)]
+    rows += [("half", " ".join(sides[6].split()[:8])), ("none", None), ("empty", ""), ("signs", "... !"), ("copies", ". ".join(sides * 3))]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    plain = lambda df: sorted(map(tuple, df.collect()))
+    for options in ({}, {"any_case": True}, {"any_case": True, "literals": 2, "least": 1}, {"any_case": True, "coverage": 0.0}, {"any_case": True, "coverage": 1.0}, {"width": 3}):
+        found = plain(decontamination.contaminated(docs, bench, **options))
+        assert found and found == plain(decontamination.contaminated(docs, bench, broadcast_rows=0, **options))
+    docs, bench = (spark.read.parquet(f"{sf}/{x}.parquet") for x in ("documents", "benchmark"))
+    found = plain(decontamination.contaminated(docs, bench, any_case=True))
+    assert found and found == plain(decontamination.contaminated(docs, bench, any_case=True, broadcast_rows=0))
