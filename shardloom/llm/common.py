@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import atexit
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from shardloom.sources.storage import shared_dir
 HOT_ROWS, HOT_SHARE, SALTS = 10_000, 1000, 64
 #: Bits of the bitmap that clears rows from joins.
 FILTER_BITS = 1 << 23
+#: Within small_batches: bytes that Python is handed at once (or one row, if it is larger), and rows that are read from Parquet at once.
+SMALL = {"spark.sql.execution.arrow.maxBytesPerBatch": "2m", "spark.sql.parquet.columnarReaderBatchSize": "512"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,14 +36,30 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What is run within takes large rows in small batches, whatever the size of a partition; Spark's own are 10,000 rows or 64 MB.
+
+    Plans that are made outside, also of tables named within, are as before.
+    """
+    before = {key: spark.conf.get(key) for key in SMALL}
+    try:
+        for key, value in SMALL.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
+def written(df: DataFrame, compression: str | None = None) -> DataFrame:
     """Cut the lineage with a Parquet table in the shared folder; smaller than a checkpoint and pruned by column.
 
     The table is removed when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     atexit.register(_remove, spark, path)
     return spark.read.parquet(path)
 

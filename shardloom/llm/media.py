@@ -14,8 +14,8 @@ payloads, reads them back and resolves the sequences.
 
 Rows: one per input row, told apart by a number of their own, so repeated and
 null ids keep their sequences.  A null or empty text is one row of 192 blanks;
-a null or empty page is an empty sequence.  Very long payloads are handled one
-at a time.  Equal texts give equal values; a payload that a task has stored
+a null or empty page is an empty sequence.  Payloads and pages are handed to
+Python in batches of 2 MB, and very long ones one at a time.  Equal texts give equal values; a payload that a task has stored
 lately is not stored again.  References without a stored payload keep a null.
 Other columns are not read.
 """
@@ -34,14 +34,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardloom.llm.common import hot_keys, salted_join, table, text_of, written
+from shardloom.llm.common import hot_keys, salted_join, small_batches, table, text_of, written
 
 #: Samples in a row of pixels.
 ROW = 192
 _SIGN = b"\x89PNG\r\n\x1a\n"
 ITEM = "struct<position:int,kind:string,text:string,digest:string,caption:string>"
 #: Digests that a task remembers, so as not to store a payload again, and bytes in one batch.
-SEEN, BATCH_BYTES = 100_000, 8 << 20
+SEEN, BATCH_BYTES = 100_000, 2 << 20
 DESCRIBED = "digest string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
@@ -131,7 +131,7 @@ def store(payloads: DataFrame, data: str = "data") -> DataFrame:
 
 
 def described(stored: DataFrame) -> DataFrame:
-    """What DESCRIBED lists, one row for each digest, from the media bytes of a stored table."""
+    """What DESCRIBED lists, one row for each digest, from the media bytes of a stored table; they are read here and now."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,7 +147,8 @@ def described(stored: DataFrame) -> DataFrame:
             if rows:
                 yield _batch(rows, DESCRIBED)
 
-    found = stored.select("digest", "n_bytes", "media").mapInArrow(run, DESCRIBED)
+    with small_batches(stored.sparkSession):
+        found = written(stored.select("digest", "n_bytes", "media").mapInArrow(run, DESCRIBED), "zstd")  # digests in hex take half the bytes
     return found.groupBy("digest").agg(*[F.first(c).alias(c) for c in found.columns[1:]])
 
 
@@ -244,7 +245,8 @@ def interleave(pages: DataFrame, id: str = "page_id", html: str = "html") -> Dat
 def resolve(sequences: DataFrame, media: DataFrame, id: str = "page_id") -> DataFrame:
     """``row``, ``id`` and ``items``, each reference with what ``media`` (of ``described``) has of it, or nulls, in order."""
     columns = [x.split()[0] for x in DESCRIBED.split(", ")[1:]]
-    kept = written(sequences)
+    with small_batches(sequences.sparkSession):
+        kept = written(sequences)
     flat = kept.select("row", F.col(id).alias("id"), F.explode_outer("items").alias("item")).select("row", "id", "item.*")
     parts = F.when(F.col("position").isNotNull(), F.struct("position", "kind", "text", "digest", "caption", *columns))
     texts = flat.where("digest is null").select("row", "id", *[F.col(c) for c in ("position", "kind", "text", "digest", "caption")], *[F.lit(None).cast(media.schema[c].dataType).alias(c) for c in columns])
@@ -257,7 +259,8 @@ def resolve(sequences: DataFrame, media: DataFrame, id: str = "page_id") -> Data
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a sequence of one reference, resolved against the stored payloads as read back."""
     docs = table(spark, sf_dir, "documents").select("doc_id", text_of("text").cast("binary").alias("data"))
-    stored = written(store(docs))
+    with small_batches(spark):
+        stored = written(store(docs), "none")  # PNGs don't get any smaller
     page = F.concat(F.lit('<img data-digest="'), F.sha2("data", 256), F.lit('">'))
     sequences = interleave(docs.select("doc_id", page.alias("html")), "doc_id")
     found = resolve(sequences, described(stored), "doc_id").select("doc_id", F.get("items", F.lit(0)).alias("item"))

@@ -246,6 +246,42 @@ def test_images_by_another_reader():
         assert back == data + b" " * (len(back) - n) and width == 64 and len(back) == 192 * height == max(1, -(-n // 192)) * 192
 
 
+def test_media_come_in_small_batches(spark, tmp_path, monkeypatch):
+    text = F.repeat(F.sha2(F.col("id").cast("string"), 256), F.when(F.col("id") == 7, 100_000).otherwise(80))  # one of 6.4 MB, else 5 KB
+    spark.range(4000).select(F.col("id").alias("doc_id"), text.alias("text")).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    notes = tmp_path / "notes"
+    notes.mkdir()
+    kind = type(spark.range(1))
+    plain, path = kind.mapInArrow, str(notes)
+
+    def noted(self, func, schema, *more):
+        def run(batches):
+            import os
+            import uuid
+
+            def note(out):
+                for batch in batches:
+                    out.write(f"{batch.num_rows} {batch.nbytes}\n")
+                    yield batch
+
+            with open(os.path.join(path, uuid.uuid4().hex), "w") as out:
+                yield from func(note(out))
+
+        return plain(self, run, schema, *more)
+
+    monkeypatch.setattr(kind, "mapInArrow", noted)
+    keys = ("spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    before = [spark.conf.get(k) for k in keys]
+    got = media.op9_media_columns(spark, str(tmp_path)).select("doc_id", "n_bytes", "digest").collect()
+    assert [spark.conf.get(k) for k in keys] == before
+    assert {r.doc_id: r.n_bytes for r in got} == {k: 6_400_000 if k == 7 else 5120 for k in range(4000)} and len(got) == 4000
+    assert all(r.digest == hashlib.sha256(hashlib.sha256(str(r.doc_id).encode()).hexdigest().encode() * (r.n_bytes // 64)).hexdigest() for r in got)
+    batches = [tuple(map(int, line.split())) for p in notes.iterdir() for line in p.read_text().splitlines()]
+    assert sum(rows for rows, _ in batches) >= 3 * 4000  # stored, described, put in sequences
+    # a batch ends with the row that fills it
+    assert all(size < 3_000_000 or size < 10_000_000 and rows < 1000 for rows, size in batches) and sum(size >= 3_000_000 for _, size in batches) <= 2
+
+
 def test_media_of_documents(spark, sf):
     docs = {r.doc_id: r.text.encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     got = media.op9_media_columns(spark, sf).collect()
